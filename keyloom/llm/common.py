@@ -97,3 +97,8 @@ def prefix(totals: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, also where body names it inside a higher-order function."""
+    return F.get(F.transform(F.array(value), body), 0)
