@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, pii, quality, sharding
 from .common import table
 
 
@@ -12,6 +13,14 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of(k) for k in pii.KINDS]
+    base = F.sha2(pii.digest(F.col("base")).cast("binary"), 256)
+    return found.select("row.doc_id", *counts, base.alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -22,7 +31,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_mix": op7_mix, "op9_quality": op9_quality, "op10_shards": op10_shards}
+    return {"op7_mix": op7_mix, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_shards": op10_shards}
 
 
 def oracle_sql() -> dict[str, str]:
