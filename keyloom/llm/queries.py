@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, mixing, pii, quality, sharding
+from . import merkle, mixing, packing, pii, quality, records, sharding
 from .common import table
 
 
@@ -13,6 +13,20 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.read_records(records.write_records(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), end_id=1)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,7 +49,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_merkle": op3_merkle, "op7_mix": op7_mix, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_shards": op10_shards}
+    return {"op3_merkle": op3_merkle, "op4_records": op4_records, "op6_packing": op6_packing, "op7_mix": op7_mix, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_shards": op10_shards}
 
 
 def oracle_sql() -> dict[str, str]:
