@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, mixing, packing, pii, quality, records, sharding
+from . import langid, merkle, mixing, packing, pii, quality, records, sharding
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(records.write_records(table(spark, sf_dir, "documents"), byte_bpe(), end_id=0))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe(), end_id=1)
 
@@ -49,7 +53,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_merkle": op3_merkle, "op4_records": op4_records, "op6_packing": op6_packing, "op7_mix": op7_mix, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_shards": op10_shards}
+    return {"op3_merkle": op3_merkle, "op4_records": op4_records, "op5_langid": op5_langid, "op6_packing": op6_packing, "op7_mix": op7_mix, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_shards": op10_shards}
 
 
 def oracle_sql() -> dict[str, str]:
