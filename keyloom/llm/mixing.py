@@ -12,6 +12,8 @@ MAX_EPOCHS = 3
 SEED = 42
 #: Hash cells per source: each holds 1/4096 of a source, whichever share of the rows the source has.
 CELL_DIGITS = 3
+#: A table of one row a source is broadcast up to this many sources (under 100 bytes each).
+BROADCAST_SOURCES = 20_000
 
 
 def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -83,6 +85,8 @@ def mix(docs: DataFrame, cycle: tuple = CYCLE, max_epochs: int = MAX_EPOCHS, see
         "mix-walk",
     )
     missing = walked.groupBy("source_key").agg((F.first("room") - F.coalesce(F.max(F.when(F.col("fits"), F.col("end"))), F.lit(0))).alias("missing"))
+    if targets.count() <= BROADCAST_SOURCES:
+        missing = F.broadcast(missing)
     left = walked.filter(~F.col("fits") & (F.col("room") > 0)).join(missing, "source_key").filter(F.col("size") < 2 * F.col("missing"))
     last = left.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")), "key", "nth")).alias("last")).select("source_key", "last.key", "last.nth", F.lit(1).alias("is_last"))
     copies = (F.floor("ratio") + F.when(F.col("fits") | F.col("is_last").isNotNull(), 1).otherwise(0)).cast("long")
