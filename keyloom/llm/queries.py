@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, merkle, mixing, packing, pii, quality, records, sharding, simhash
+from . import chaining, langid, merkle, mixing, packing, pii, quality, records, sharding, simhash
 from .common import table
 
 
+def op1_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -57,7 +61,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op3_merkle": op3_merkle, "op4_records": op4_records, "op5_langid": op5_langid, "op6_packing": op6_packing, "op7_mix": op7_mix, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_shards": op10_shards}
+    return {"op1_chaining": op1_chaining, "op2_simhash": op2_simhash, "op3_merkle": op3_merkle, "op4_records": op4_records, "op5_langid": op5_langid, "op6_packing": op6_packing, "op7_mix": op7_mix, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_shards": op10_shards}
 
 
 def oracle_sql() -> dict[str, str]:
