@@ -110,18 +110,22 @@ def disclosing_terms(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generali
         "pii-seen",
     )
     bare = lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")
-    beside = seen.select("entity", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("w"))
-    pairs = beside.select("entity", "context", bare(F.col("w")).alias("term")).filter(F.col("term").rlike(TERM)).distinct()
-    pairs = stage(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_contexts), "pii-pairs")
+    beside = seen.select("entity", "text_hash", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("w"))
+    beside = stage(beside.select("entity", "text_hash", "context", bare(F.col("w")).alias("term")).filter(F.col("term").rlike(TERM)), "pii-beside")
+    n = F.lit(float(max(docs.count(), 1)))
+    n_entity = seen.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_beside = beside.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    pairs = beside.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_contexts)
+    # n(t) is at least the number of texts that have t beside any entity; a pair whose share can't be reached goes here.
+    reach = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - generalise_at))
+    pairs = stage(pairs.join(n_entity, "entity").join(n_beside, "term").filter(F.col("n_beside") <= reach).drop("n_beside"), "pii-pairs")
     terms = pairs.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
     held = base.select("text_hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}'’-]*"), 0))).alias("w"))
     n_term = held.select("text_hash", bare(F.col("w")).alias("term")).join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entity = seen.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = docs.count()
-    known = F.log(F.lit(float(max(n, 1))) / F.col("n_entity"))
-    told = F.log(F.least("n_both", "n_term", "n_entity") * F.lit(float(max(n, 1))) / (F.col("n_term") * F.col("n_entity")))
-    flagged = pairs.join(n_term, "term").join(n_entity, "entity").withColumn("share", told / known).filter((known > 0) & (F.col("share") >= generalise_at)).select("entity", "term", "share")
+    known = F.log(n / F.col("n_entity"))
+    told = F.log(F.least("n_both", "n_term", "n_entity") * n / (F.col("n_term") * F.col("n_entity")))
+    flagged = pairs.join(n_term, "term").withColumn("share", told / known).filter((known > 0) & (F.col("share") >= generalise_at)).select("entity", "term", "share")
     return seen.select("doc_id", "text_hash", "entity").distinct().join(flagged, "entity").groupBy("doc_id", "text_hash", "term").agg(F.max("share").alias("share"))
 
 
