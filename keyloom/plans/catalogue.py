@@ -187,7 +187,7 @@ def event_bits(spark: SparkSession, d: str) -> DataFrame:
 
 
 EVENT_BITS = "SELECT event_id AS pos, (user_id % 3 = 0)::INTEGER AS bit FROM events"
-WORDS = f"b AS ({EVENT_BITS}), w AS (SELECT pos // 64 AS word_no, sum(CASE WHEN bit = 1 THEN 1::UHUGEINT << (pos % 64)::UHUGEINT ELSE 0::UHUGEINT END)::UBIGINT AS word FROM b GROUP BY 1)"
+WORDS = f"b AS ({EVENT_BITS}), w AS (SELECT pos // 64 AS word_no, bit_or(CASE WHEN bit = 1 THEN 1::UBIGINT << (pos % 64)::UBIGINT ELSE 0::UBIGINT END) AS word FROM b GROUP BY 1)"
 
 
 def bit_pack(spark: SparkSession, d: str) -> DataFrame:
