@@ -1,4 +1,4 @@
-"""Seeded MurmurHash3 over byte strings, vectorised by key length, and reductions of hashes to ranges.
+"""Seeded MurmurHash3 over byte strings, vectorised over keys, and reductions of hashes to ranges.
 
 Unsigned results are carried in Spark as follows: 32-bit values as non-negative longs, 64-bit values as longs in two's
 complement (hex64() prints them unsigned), 128-bit values as a struct (h1, h2) of such longs.
@@ -46,52 +46,58 @@ def as_bytes(keys) -> list[bytes]:
     return [k.encode() if isinstance(k, str) else bytes(k) for k in keys]
 
 
-def _blocks(keys: list[bytes], width: int, dtype: str):
-    """For each length: the positions of its keys, the length, and their zero-padded words as a matrix."""
-    by_length: dict[int, list[int]] = {}
-    for i, k in enumerate(keys):
-        by_length.setdefault(len(k), []).append(i)
-    for n, at in by_length.items():
-        padded = -(-n // width) * width
-        raw = np.zeros((len(at), padded), np.uint8)
-        if n:
-            raw[:, :n] = np.frombuffer(b"".join(keys[i] for i in at), np.uint8).reshape(len(at), n)
-        yield np.array(at), n, raw.view(dtype)
+def _layout(keys: list[bytes], width: int, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys laid end to end, longest first, each padded with zeros to whole blocks: the order, lengths in that order,
+    all words, and where each key's words start. So the keys that still have a block i are a leading run."""
+    lengths = np.fromiter(map(len, keys), np.int64, len(keys))
+    order = np.argsort(-lengths, kind="stable")
+    lengths = lengths[order]
+    padded = -(-lengths // width) * width
+    data = b"".join([keys[i].ljust(p, b"\0") for i, p in zip(order.tolist(), padded.tolist())])
+    words = np.frombuffer(data, dtype)
+    return order, lengths, words, (np.cumsum(padded) - padded) // words.dtype.itemsize
 
 
 def murmur32(keys: list[bytes], seeds) -> np.ndarray:
     """MurmurHash3_x86_32 with one seed or a seed for each key."""
-    out, seeds = np.zeros(len(keys), U32), np.broadcast_to(np.asarray(seeds, np.int64).astype(U32), len(keys))
+    order, lengths, words, start = _layout(keys, 4, "<u4")
     mix = lambda k: rotl(k * C1_32, 15) * C2_32
-    for at, n, words in _blocks(keys, 4, "<u4"):
-        h = seeds[at].copy()
-        for i in range(n // 4):
-            h = rotl(h ^ mix(words[:, i]), 13) * U32(5) + ADD_32
-        if n % 4:
-            h ^= mix(words[:, -1])
-        out[at] = fmix32(h ^ U32(n))
+    h = np.broadcast_to(np.asarray(seeds, np.int64).astype(U32), len(keys))[order].copy()
+    full = lengths // 4
+    for i in range(int(full.max(initial=0))):
+        n = int(np.searchsorted(-full, -i))
+        h[:n] = rotl(h[:n] ^ mix(words[start[:n] + i]), 13) * U32(5) + ADD_32
+    tail = np.flatnonzero(lengths % 4)
+    h[tail] ^= mix(words[start[tail] + full[tail]])
+    out = np.empty(len(keys), U32)
+    out[order] = fmix32(h ^ lengths.astype(U32))
     return out
 
 
 def murmur128(keys: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
     """MurmurHash3_x64_128 as (h1, h2)."""
-    out1, out2 = np.zeros(len(keys), U64), np.zeros(len(keys), U64)
+    order, lengths, words, start = _layout(keys, 16, "<u8")
     mix1 = lambda k: rotl(k * C1_64, 31) * C2_64
     mix2 = lambda k: rotl(k * C2_64, 33) * C1_64
-    for at, n, words in _blocks(keys, 16, "<u8"):
-        h1, h2 = np.full(len(at), seed, U64), np.full(len(at), seed, U64)
-        for i in range(n // 16):
-            h1 = (rotl(h1 ^ mix1(words[:, 2 * i]), 27) + h2) * U64(5) + ADD_64[0]
-            h2 = (rotl(h2 ^ mix2(words[:, 2 * i + 1]), 31) + h1) * U64(5) + ADD_64[1]
-        if n % 16:
-            h2 = h2 ^ mix2(words[:, -1])
-            h1 = h1 ^ mix1(words[:, -2])
-        h1, h2 = h1 ^ U64(n), h2 ^ U64(n)
-        h1 = h1 + h2
-        h2 = h2 + h1
-        h1, h2 = fmix64(h1), fmix64(h2)
-        h1 = h1 + h2
-        out1[at], out2[at] = h1, h2 + h1
+    h1, h2 = np.full(len(keys), seed, U64), np.full(len(keys), seed, U64)
+    full = lengths // 16
+    for i in range(int(full.max(initial=0))):
+        n = int(np.searchsorted(-full, -i))
+        at = start[:n] + 2 * i
+        h1[:n] = (rotl(h1[:n] ^ mix1(words[at]), 27) + h2[:n]) * U64(5) + ADD_64[0]
+        h2[:n] = (rotl(h2[:n] ^ mix2(words[at + 1]), 31) + h1[:n]) * U64(5) + ADD_64[1]
+    tail = np.flatnonzero(lengths % 16)
+    at = start[tail] + 2 * full[tail]
+    h1[tail] ^= mix1(words[at])
+    h2[tail] ^= mix2(words[at + 1])
+    h1, h2 = h1 ^ lengths.astype(U64), h2 ^ lengths.astype(U64)
+    h1 = h1 + h2
+    h2 = h2 + h1
+    h1, h2 = fmix64(h1), fmix64(h2)
+    h1 = h1 + h2
+    h2 = h2 + h1
+    out1, out2 = np.empty(len(keys), U64), np.empty(len(keys), U64)
+    out1[order], out2[order] = h1, h2
     return out1, out2
 
 
