@@ -50,23 +50,26 @@ def _parameter(p: float) -> int:
 
 
 @lru_cache(maxsize=None)
-def parameter(size: int, leaf: int) -> int:
-    """Golomb-Rice parameter of a node's seed: by the trials that a bijection or a split is expected to take."""
+def parameter(size: int, leaf: int, paired: bool = False) -> int:
+    """Golomb-Rice parameter of a node's seed: by the trials that a bijection or a split is expected to take. With
+    paired leaves a key has two slots to choose from, which takes about (e / 2)^size trials."""
     parts = fanout(size, leaf)
+    if len(parts) == 1 and paired:
+        return _parameter((2 / math.e) ** size) if size > 1 else 0
     if len(parts) == 1:
         return _parameter(math.sqrt(2 * math.pi * size) / math.exp(size)) if size > 1 else 0
     return _parameter(1 / math.sqrt((2 * math.pi) ** (len(parts) - 1) * math.prod(parts) / sum(parts)))
 
 
 @lru_cache(maxsize=None)
-def subtree(size: int, leaf: int) -> tuple[int, int]:
+def subtree(size: int, leaf: int, paired: bool = False) -> tuple[int, int]:
     """(nodes, fixed bits) of the tree of a set: sizes 0 and 1 have no node."""
     if size < 2:
         return 0, 0
     parts = fanout(size, leaf)
     if len(parts) == 1:
-        return 1, parameter(size, leaf)
-    inner = [subtree(p, leaf) for p in parts]
+        return 1, parameter(size, leaf, paired)
+    inner = [subtree(p, leaf, paired) for p in parts]
     return 1 + sum(n for n, _ in inner), parameter(size, leaf) + sum(b for _, b in inner)
 
 
@@ -87,16 +90,19 @@ def _search(h1: np.ndarray, h2: np.ndarray, n: int, good) -> int:
     raise ValueError("two keys of a bucket have equal hashes: are keys distinct?")
 
 
-def split(h1: np.ndarray, h2: np.ndarray, leaf: int) -> list[tuple[int, int]]:
-    """Seeds of a set's tree in preorder, each with the size of its node."""
+def bijection(h1: np.ndarray, h2: np.ndarray) -> int:
+    full = (1 << len(h1)) - 1
+    return _search(h1, h2, len(h1), lambda v: np.bitwise_or.reduce(np.int64(1) << v, axis=1) == full)
+
+
+def split(h1: np.ndarray, h2: np.ndarray, leaf: int, at_leaf=bijection) -> list[tuple[int, int]]:
+    """Seeds of a set's tree in preorder, each with the size of its node; at_leaf finds the seed of a leaf."""
     size = len(h1)
     if size < 2:
         return []
     parts = fanout(size, leaf)
     if len(parts) == 1:
-        full = (1 << size) - 1
-        bijective = lambda v: np.bitwise_or.reduce(np.int64(1) << v, axis=1) == full
-        return [(_search(h1, h2, size, bijective), size)]
+        return [(at_leaf(h1, h2), size)]
     cuts = np.cumsum(parts)
     low = np.concatenate([[0], cuts[:-1]])
 
@@ -110,15 +116,15 @@ def split(h1: np.ndarray, h2: np.ndarray, leaf: int) -> list[tuple[int, int]]:
     part = np.searchsorted(cuts, place(h1, h2, np.array([seed]), size)[0], "right")
     out = [(seed, size)]
     for k in range(len(parts)):
-        out += split(h1[part == k], h2[part == k], leaf)
+        out += split(h1[part == k], h2[part == k], leaf, at_leaf)
     return out
 
 
-def encode(nodes: list[tuple[int, int]], leaf: int) -> tuple[str, str]:
+def encode(nodes: list[tuple[int, int]], leaf: int, paired: bool = False) -> tuple[str, str]:
     """Fixed and unary Golomb-Rice streams of a tree's seeds."""
     fixed, unary = [], []
     for seed, size in nodes:
-        r = parameter(size, leaf)
+        r = parameter(size, leaf, paired)
         fixed.append(format(seed & ((1 << r) - 1), f"0{r}b") if r else "")
         unary.append("0" * (seed >> r) + "1")
     return "".join(fixed), "".join(unary)
@@ -127,20 +133,23 @@ def encode(nodes: list[tuple[int, int]], leaf: int) -> tuple[str, str]:
 class Tree:
     """A bucket's tree read from its streams; a sibling's subtree is skipped by its number of nodes and fixed bits."""
 
-    def __init__(self, fixed: str, unary: str, leaf: int):
-        self.fixed, self.leaf = fixed, leaf
+    def __init__(self, fixed: str, unary: str, leaf: int, paired: bool = False):
+        self.fixed, self.leaf, self.paired = fixed, leaf, paired
         self.ends = np.flatnonzero(np.frombuffer(unary.encode(), np.uint8) == ord("1"))
 
     def seed(self, node: int, bit: int, size: int) -> int:
-        r = parameter(size, self.leaf)
+        r = parameter(size, self.leaf, self.paired)
         quotient = int(self.ends[node] - (self.ends[node - 1] + 1 if node else 0))
         return (quotient << r) | (int(self.fixed[bit : bit + r], 2) if r else 0)
 
-    def values(self, h1: np.ndarray, h2: np.ndarray, size: int, node: int = 0, bit: int = 0) -> np.ndarray:
-        """Values below size of keys (members get distinct ones)."""
+    def values(self, h1: np.ndarray, h2: np.ndarray, size: int, choice: np.ndarray | None = None, node: int = 0, bit: int = 0) -> np.ndarray:
+        """Values below size of keys (members get distinct ones); with paired leaves, by each key's choice."""
         if size < 2 or not len(h1):
             return np.zeros(len(h1), np.int64)
         seed, parts = self.seed(node, bit, size), fanout(size, self.leaf)
+        if len(parts) == 1 and self.paired:
+            both = place(h1, h2, np.array([2 * seed, 2 * seed + 1]), size)
+            return np.where(choice == 0, both[0], both[1])
         got = place(h1, h2, np.array([seed]), size)[0]
         if len(parts) == 1:
             return got
@@ -150,8 +159,8 @@ class Tree:
         for k, p in enumerate(parts):
             here = part == k
             if here.any():
-                out[here] = cuts[k] - p + self.values(h1[here], h2[here], p, node, bit)
-            nodes, bits = subtree(p, self.leaf)
+                out[here] = cuts[k] - p + self.values(h1[here], h2[here], p, None if choice is None else choice[here], node, bit)
+            nodes, bits = subtree(p, self.leaf, self.paired)
             node, bit = node + nodes, bit + bits
         return out
 

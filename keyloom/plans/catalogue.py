@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, hashing
-from ..operators import bitvector, evaluate, prefix, recsplit, retrieval, shockhash, sichash
+from ..operators import bitvector, evaluate, prefix, recsplit, retrieval, shockhash, shockrecsplit, sichash
 from ..sources import keys as key_sources
 from . import oracles as sql
 from .persist import persist
@@ -14,6 +14,7 @@ from .persist import persist
 RECSPLIT = recsplit.Plan(bucket_size=100, leaf=8)
 SICHASH = sichash.Plan()
 SHOCKHASH = shockhash.Plan(bucket_size=20)
+SHOCK_RECSPLIT = recsplit.Plan(bucket_size=40, leaf=12)
 BIPARTITE = shockhash.Plan(bucket_size=20, bipartite=True)
 LEAVES, SIZES = (4, 6, 8, 12), range(2, 400)
 
@@ -299,6 +300,25 @@ def bipartite_values(spark: SparkSession, d: str) -> DataFrame:
     return shockhash_values(spark, d, BIPARTITE)
 
 
+def shockrecsplit_values(spark: SparkSession, d: str) -> DataFrame:
+    keys = persist(customers(spark, d), "keys")
+    return shockrecsplit.lookup(keys, shockrecsplit.build(keys, SHOCK_RECSPLIT, keys.count(), persist)).select("mph")
+
+
+def grid_run(spark: SparkSession, d: str) -> DataFrame:
+    """RecSplit at every point of a small grid, twice: times and rates averaged, and its space."""
+    keys, runs = persist(suppliers(spark, d), "keys"), []
+    n = keys.count()
+    for point in evaluate.parameter_grid(spark, bucket_size=[50, 100], leaf=[5, 6]).collect():
+        for seed in range(2):
+            plan, made = recsplit.Plan(int(point.bucket_size), int(point.leaf), seed), {}
+            took = evaluate.timed(lambda: made.setdefault("a", persist(recsplit.build(keys, plan, n), "grid")), lambda a: recsplit.lookup(keys, a, plan, n), n)
+            total = evaluate.space_report(recsplit.space(made["a"]), n).first()
+            runs.append((plan.bucket_size, plan.leaf, int(took["build_ms"]), int(took["lookup_ms"]), total.total_bits, took["build_keys_s"], took["lookup_keys_s"], total.bits_per_key))
+    names = ["build_ms", "lookup_ms", "total_bits"], ["build_keys_s", "lookup_keys_s", "bits_per_key"]
+    return evaluate.average_reports(spark.createDataFrame(runs, ["bucket_size", "leaf", *names[0], *names[1]]), ["bucket_size", "leaf"], *names)
+
+
 def dictionary_encode_join(spark: SparkSession, d: str) -> DataFrame:
     """Events per user, counted by dense id and mapped back."""
     events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "value")
@@ -361,7 +381,7 @@ golomb_encode golomb_decode golomb_bits golomb_params_bijection golomb_params_sp
 ef_roundtrip ef_space bit_strings bit_pack bit_unpack popcount_words rank_bits select_ones rank9_counts rank9_lookup
 select_inventory ribbon_retrieve burr_retrieve burr_retrieve_3 recsplit_values recsplit_text_values recsplit_verify
 recsplit_nodes sichash_perfect_verify sichash_minimal_values sichash_holes shockhash_values bipartite_values
-dictionary_encode_join space_recsplit space_sichash param_grid param_grid_recsplit grid_average distinct_parts dedupe_lines
+shockrecsplit_values dictionary_encode_join space_recsplit space_sichash param_grid param_grid_recsplit grid_run grid_average distinct_parts dedupe_lines
 sample_keys random_keys_profile""".split()
 
 
@@ -428,6 +448,7 @@ def oracle_sql() -> dict[str, str]:
         "sichash_holes": "SELECT 0::BIGINT AS holes_without_key",
         "shockhash_values": dense(CUSTOMERS),
         "bipartite_values": dense(CUSTOMERS),
+        "shockrecsplit_values": dense(CUSTOMERS),
         "dictionary_encode_join": "SELECT user_id, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY user_id",
         "param_grid": _grid(**GRIDS["sichash"]),
         "param_grid_recsplit": _grid(**GRIDS["recsplit"]),

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import bitvector, evaluate, prefix, recsplit, retrieval, shockhash, sichash
+from keyloom.operators import bitvector, evaluate, prefix, recsplit, retrieval, shockhash, shockrecsplit, sichash
 from keyloom.plans.persist import persist
 from keyloom.sources import keys as key_sources
 from keyloom.streaming.lookup import lookup_stream
@@ -103,6 +103,8 @@ def test_hash_functions_are_minimal(spark, names):
     assert sorted(r.mph for r in recsplit.lookup(keys, artifact, plan, n).collect()) == list(range(n))
     built = sichash.build(keys, sichash.Plan(bucket_size=100), n, persist)
     assert sorted(r.mph for r in sichash.lookup(keys, built).collect()) == list(range(n))
+    paired = shockrecsplit.build(keys, recsplit.Plan(bucket_size=40, leaf=12), n, persist)
+    assert sorted(r.mph for r in shockrecsplit.lookup(keys, paired).collect()) == list(range(n))
     for bipartite in (False, True):
         made = shockhash.build(keys, shockhash.Plan(bucket_size=12, bipartite=bipartite), n, persist)
         assert sorted(r.mph for r in shockhash.lookup(keys, made).collect()) == list(range(n))
