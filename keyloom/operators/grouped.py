@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
@@ -48,3 +49,22 @@ def by_group(df: DataFrame, key: str, order: list[str], kernel: Callable[[pa.Tab
     out = to_arrow_schema(StructType.fromDDL(schema))
     sorted_groups = df.repartition(key).sortWithinPartitions(key, *order)
     return sorted_groups.mapInArrow(lambda batches: _stream(batches, key, kernel, out), schema)
+
+
+def by_group_with(rows: DataFrame, side: DataFrame, key: str, kernel: Callable[[pa.Table, list[dict]], dict[str, list]], schema: str) -> DataFrame:
+    """kernel(rows of a key's value, that value's rows of side) for every value that both have.
+
+    Instead of a join, which would repeat a side's large values in every row and be shuffled again, both are dealt by
+    the key in one shuffle, and a group starts with its rows of side (a few by construction: an artifact's parts).
+    """
+    names = [c for c in side.columns if c != key]
+    marked = side.select(key, F.lit(True).alias("_side"), *(F.col(c).alias(f"_side_{c}") for c in names))
+    both = rows.withColumn("_side", F.lit(False)).unionByName(marked, allowMissingColumns=True).withColumn("_order", ~F.col("_side"))
+
+    def run(group: pa.Table) -> dict[str, list]:
+        n = group.column("_side").to_pylist().count(True) if group.column("_side")[0].as_py() else 0
+        if n in (0, len(group)):
+            return {}
+        return kernel(group.slice(n), [{c: r[f"_side_{c}"] for c in names} for r in group.slice(0, n).select([f"_side_{c}" for c in names]).to_pylist()])
+
+    return by_group(both, key, ["_order"], run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import GOLDEN
 from ..functions.hashing import fast_range64, fmix64, murmur128_of
-from .grouped import by_group
+from .grouped import by_group, by_group_with
 from .prefix import exclusive_prefix
 
 U64 = np.uint64
@@ -193,15 +193,14 @@ def lookup(keys: DataFrame, artifact: DataFrame, plan: Plan, n: int) -> DataFram
     none if their bucket had no keys."""
     names = keys.columns
     schema = f"{keys._jdf.schema().toDDL()}, mph long"
-    placed = with_bucket(keys, plan, plan.buckets(n)).join(artifact, "bucket")
 
-    def kernel(group: pa.Table) -> dict[str, list]:
+    def kernel(group: pa.Table, trees: list[dict]) -> dict[str, list]:
         h1, h2 = _hashes(group)
-        one = {c: group.column(c)[0].as_py() for c in ("fixed", "unary", "size", "size_before")}
+        one = trees[0]
         got = Tree(one["fixed"], one["unary"], plan.leaf).values(h1, h2, one["size"]) + one["size_before"]
         return {**{c: group.column(c).to_pylist() for c in names}, "mph": got.tolist()}
 
-    return by_group(placed, "bucket", [], kernel, schema)
+    return by_group_with(with_bucket(keys, plan, plan.buckets(n)), artifact, "bucket", kernel, schema)
 
 
 def nodes(keys: DataFrame, plan: Plan, n: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import combine64, fast_range64, fmix64, murmur128_of
-from .grouped import by_group
+from .grouped import by_group, by_group_with
 
 BAND = 64
 KEY_SEED = 1203
@@ -188,19 +188,17 @@ def open_layers(rows: list[dict]) -> list[dict]:
 def retrieve(keys: DataFrame, artifact: DataFrame, shards: int, b: int = 64, epsilon: float = 0.0) -> DataFrame:
     """keys (key, ...) with their value. A key that wasn't built in gets some value below 2^bits.
 
-    Keys meet their shard's artifact in one shuffle on the shard; the artifact is one row a shard and layer.
+    Keys meet their shard's layers in one shuffle on the shard.
     """
-    layers = artifact.groupBy("shard").agg(F.collect_list(F.struct("layer", "m", "seed", "bits", "z", "meta")).alias("layers"))
     placed = with_key_hash(keys).withColumn("shard", fast_range64(F.col("ks"), shards)).select(*keys.columns, "kh", "shard")
-    joined = placed.join(layers, "shard")
     names, schema = keys.columns, f"{keys.select(*keys.columns)._jdf.schema().toDDL()}, value int"
 
-    def kernel(group: pa.Table) -> dict[str, list]:
-        made = open_layers(group.column("layers")[0].as_py())
+    def kernel(group: pa.Table, layers: list[dict]) -> dict[str, list]:
+        made = open_layers(layers)
         values = query_bumped(made, group.column("kh").to_numpy().view(U64), b, epsilon)
         return {**{n: group.column(n).to_pylist() for n in names}, "value": values.tolist()}
 
-    return by_group(joined, "shard", [], kernel, schema)
+    return by_group_with(placed, artifact, "shard", kernel, schema)
 
 
 def retrieval_space(artifact: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fmix64, mod_range128, murmur128_of
-from .grouped import by_group
+from .grouped import by_group, by_group_with
 from .prefix import exclusive_prefix
 from .recsplit import MOST, STEP, place
 from .retrieval import build_retrieval, n_shards, retrieve
@@ -141,16 +141,16 @@ def build(keys: DataFrame, plan: Plan, n: int, persist=lambda df, name: df.cache
 def lookup(keys: DataFrame, built: ShockHash) -> DataFrame:
     """keys (key) with mph in [0, n), distinct for the keys that were built in."""
     plan = built.plan
-    chosen = retrieve(with_bucket(keys.select("key"), plan, plan.buckets(built.n)), built.choices, built.shards).join(built.buckets, "bucket")
+    chosen = retrieve(with_bucket(keys.select("key"), plan, plan.buckets(built.n)), built.choices, built.shards)
 
-    def kernel(group: pa.Table) -> dict[str, list]:
+    def kernel(group: pa.Table, own: list[dict]) -> dict[str, list]:
         h1, h2 = (group.column(c).to_numpy().view(U64) for c in ("h1", "h2"))
-        choice, size = group.column("value").to_numpy().astype(np.int64), group.column("size")[0].as_py()
-        seed = np.where(choice == 0, group.column("seed").to_numpy(), group.column("second").to_numpy())
+        choice, size = group.column("value").to_numpy().astype(np.int64), own[0]["size"]
+        seed = np.where(choice == 0, own[0]["seed"], own[0]["second"])
         half = size - size // 2
         width, first = (np.where(choice == 0, half, max(1, size // 2)), np.where(choice == 0, 0, half)) if plan.bipartite else (np.full(len(h1), size), 0)
         x = fmix64(h1 + (2 * seed + choice).astype(U64) * STEP) ^ h2
         slot = ((x >> U64(32)) * width.astype(U64) >> U64(32)).astype(np.int64) + first
-        return {"key": group.column("key").to_pylist(), "mph": (slot + group.column("size_before")[0].as_py()).tolist()}
+        return {"key": group.column("key").to_pylist(), "mph": (slot + own[0]["size_before"]).tolist()}
 
-    return by_group(chosen, "bucket", [], kernel, "key string, mph long")
+    return by_group_with(chosen, built.buckets, "bucket", kernel, "key string, mph long")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .grouped import by_group
+from .grouped import by_group, by_group_with
 from .prefix import exclusive_prefix
 from .recsplit import Plan, Tree, _hashes, encode, split, with_bucket
 from .retrieval import build_retrieval, n_shards, retrieve
@@ -56,11 +56,11 @@ def build(keys: DataFrame, plan: Plan, n: int, persist=lambda df, name: df.cache
 def lookup(keys: DataFrame, built: ShockRecSplit) -> DataFrame:
     """keys (key) with mph in [0, n), distinct for the keys that were built in."""
     plan = built.plan
-    chosen = retrieve(with_bucket(keys.select("key"), plan, plan.buckets(built.n)), built.choices, built.shards).join(built.trees, "bucket")
+    chosen = retrieve(with_bucket(keys.select("key"), plan, plan.buckets(built.n)), built.choices, built.shards)
 
-    def kernel(group: pa.Table) -> dict[str, list]:
-        one = {c: group.column(c)[0].as_py() for c in ("fixed", "unary", "size", "size_before")}
+    def kernel(group: pa.Table, trees: list[dict]) -> dict[str, list]:
+        one = trees[0]
         values = Tree(one["fixed"], one["unary"], plan.leaf, True).values(*_hashes(group), one["size"], group.column("value").to_numpy())
         return {"key": group.column("key").to_pylist(), "mph": (values + one["size_before"]).tolist()}
 
-    return by_group(chosen, "bucket", [], kernel, "key string, mph long")
+    return by_group_with(chosen, built.trees, "bucket", kernel, "key string, mph long")
