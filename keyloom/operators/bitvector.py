@@ -74,12 +74,12 @@ def rank9_space(words: Column, blocks: Column) -> Column:
 
 
 def select_inventory(bits: DataFrame, large: int = 128, small: int = 8) -> DataFrame:
-    """Inclusive ranks sampled for selection: pos, primary (the count at its large sample), secondary (ones since it).
+    """Inclusive ranks sampled for selection: pos, primary_rank (the count at its large sample), secondary_rank (ones since it).
 
     The small spacing is ceil(small x ones / bits), the large one small spacing x large / small."""
     stats = bits.agg(F.sum("bit").alias("ones"), F.count("*").alias("n")).select(F.greatest(F.ceil(F.lit(small) * F.col("ones") / F.col("n")), F.lit(1)).cast("long").alias("every"))
     ranked = with_rank(bits).crossJoin(F.broadcast(stats)).filter(F.col("pos") % F.col("every") == 0)
     wide = F.col("every") * (large // small)
     first = ranked.select((F.floor(F.col("pos") / wide)).alias("part"), "pos", "rank_inclusive", (F.col("pos") % wide == 0).alias("is_primary"))
-    heads = first.filter("is_primary").select("part", F.col("rank_inclusive").alias("primary"))
-    return first.join(heads, "part").select("pos", "primary", (F.col("rank_inclusive") - F.col("primary")).alias("secondary"))
+    heads = first.filter("is_primary").select("part", F.col("rank_inclusive").alias("primary_rank"))
+    return first.join(heads, "part").select("pos", "primary_rank", (F.col("rank_inclusive") - F.col("primary_rank")).alias("secondary_rank"))

@@ -435,7 +435,7 @@ def oracle_sql() -> dict[str, str]:
         "select_ones": f"SELECT row_number() OVER (ORDER BY pos) AS r, pos FROM ({EVENT_BITS}) WHERE bit = 1",
         "rank9_counts": f"WITH b AS ({EVENT_BITS}), o AS (SELECT pos // 512 AS block, (pos // 64) % 8 AS k, sum(bit)::BIGINT AS ones FROM b GROUP BY 1, 2), i AS (SELECT *, coalesce(sum(ones) OVER (PARTITION BY block ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre FROM o), s AS (SELECT block, sum(ones)::BIGINT AS total, sum(CASE WHEN k > 0 THEN pre << (9 * (k - 1)) ELSE 0 END)::BIGINT AS inside FROM i GROUP BY block) SELECT block, coalesce(sum(total) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, {hex64('inside')} AS inside FROM s",
         "rank9_lookup": f"SELECT pos, (sum(bit) OVER (ORDER BY pos) - bit)::BIGINT AS rank FROM ({EVENT_BITS})",
-        "select_inventory": f"WITH b AS ({EVENT_BITS}), {every}, r AS (SELECT pos, (sum(bit) OVER (ORDER BY pos))::BIGINT AS ranked FROM b), s AS (SELECT pos, ranked, pos // (every * 16) AS part, pos % (every * 16) = 0 AS head FROM r, e WHERE pos % every = 0) SELECT s.pos, h.ranked AS primary, s.ranked - h.ranked AS secondary FROM s JOIN s h ON h.part = s.part AND h.head",
+        "select_inventory": f"WITH b AS ({EVENT_BITS}), {every}, r AS (SELECT pos, (sum(bit) OVER (ORDER BY pos))::BIGINT AS ranked FROM b), s AS (SELECT pos, ranked, pos // (every * 16) AS part, pos % (every * 16) = 0 AS head FROM r, e WHERE pos % every = 0) SELECT s.pos, h.ranked AS primary_rank, s.ranked - h.ranked AS secondary_rank FROM s JOIN s h ON h.part = s.part AND h.head",
         "ribbon_retrieve": f"SELECT key, ({m32('key')} % 2)::INTEGER AS value FROM ({CUSTOMERS})",
         "burr_retrieve": f"SELECT key, ({m32('key')} % 4)::INTEGER AS value FROM ({CUSTOMERS})",
         "burr_retrieve_3": f"SELECT key, ({m32('key')} % 8)::INTEGER AS value FROM ({URLS})",

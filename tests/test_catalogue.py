@@ -21,7 +21,7 @@ def test_query_agrees_with_sql(spark, other, name):
     columns = sorted(got.columns)
     here = sorted(map(repr, map(tuple, got.select(*columns).collect())))
     if name in catalogue.oracle_sql():
-        there = other.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
+        there = other.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall()
         assert here == sorted(map(repr, there))
     else:
         assert here
