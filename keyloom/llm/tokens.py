@@ -5,14 +5,21 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import accumulate, chain
 
 import numpy as np
 
 #: Pieces remembered in a worker, about 200 bytes each, and the longest piece worth remembering.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 LONGEST = 48
 
 _cut = re.compile(r" (?=\S)")
+_letters = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_plain = re.compile(f"( ?{_letters})([.,!?;:|]+)?(?:(\n)({_letters})([.,!?;:|]+)?)?")
+#: Byte-level models write a byte that is a visible character as itself and the n-th other byte as character 256 + n.
+_visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_printable = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _visible)}
+_space = _printable[32]
 _uncuttable = re.compile(r" (?:\s|$)")
 _open: dict[str, "Encoder"] = {}
 
@@ -39,25 +46,50 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._bytes(coded)
+
+    def _bytes(self, coded: list[list[int]]) -> list[bytes]:
+        data, width = np.fromiter(chain.from_iterable(coded), self.dtype).tobytes(), self.dtype.itemsize
+        ends = [0, *accumulate(len(c) * width for c in coded)]
+        return [data[lo:hi] for lo, hi in zip(ends, ends[1:])]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of runs of letters, each after a space or none: the split pattern leaves them whole, so the model
+        alone, which takes bytes as printable characters, has their ids."""
+        tokenize = self.tokenizer.model.tokenize
+        shown = [w.replace(" ", _space) if w.isascii() else w.encode().decode("latin-1").translate(_printable) for w in words]
+        return self._bytes([[t.id for t in tokenize(w)] for w in shown])
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces: from the parts of plain ones, in which the split pattern always ends a word
+        where letters turn into marks or a line ends, and from the whole of others."""
+        known = self.known
+        words = {p for p in pieces if p.isascii() and p[1:].isalpha() and p[0] == " "}
+        found = [(p, _plain.fullmatch(p)) for p in pieces - words]
+        words.update(w for _, m in found if m for w in m.group(1, 4) if w and w not in known)
+        known.update(zip(words, self._word_ids(list(words))))
+        other = list({x for p, m in found for x in (m.group(2, 3, 5) if m else (p,)) if x is not None and x not in known})
+        known.update(zip(other, self._ids(other)))
+        for p, m in found:
+            if m and p not in known:
+                known[p] = b"".join([known[x] for x in m.groups() if x])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._ids(texts)
-        cut = [_cut.split(t) if _uncuttable.search(t) else t.split(" ") for t in texts]
-        new = set().union(*(c[1:] for c in cut)) - self.known.keys()
+        cut = [[f" {p}" for p in t.split(" ")] if not _uncuttable.search(t) else [f" {p}" for p in _cut.split(t)] for t in texts]
+        for c in cut:
+            c[0] = c[0][1:]
+        new = set().union(*cut) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set().union(*(c[1:] for c in cut))
-        new = list(new)
-        got = dict(zip(new, self._ids([" " + p for p in new])))
-        self.known.update(got)
-        heads = self._ids([c[0] for c in cut])
+            new = set().union(*cut)
+        self._learn(new)
         find = self.known.__getitem__
-        out = [h + b"".join(map(find, c[1:])) for h, c in zip(heads, cut)]
-        for p in new:
-            if len(p) > LONGEST:
-                del self.known[p]
+        out = [b"".join(map(find, c)) for c in cut]
+        for p in [p for p in new if len(p) > LONGEST or "\n" in p]:
+            del self.known[p]
         return out
 
 
