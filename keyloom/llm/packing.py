@@ -19,8 +19,8 @@ from .tokens import encoder
 
 WINDOW = 2048
 OPEN = 64
-#: Partitions whose leftovers are merged in one task: at most 64 x OPEN windows, 32 MB of ids.
-MERGED = 64
+#: Partitions whose leftovers are merged in one task: at most 16 x OPEN windows, 8 MB of ids.
+MERGED = 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
