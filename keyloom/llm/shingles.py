@@ -1,0 +1,122 @@
+"""Near-duplicates by exact shingle similarity: bands of MinHash propose pairs, the whole texts decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.shipping import ship
+from .common import stage
+from .components import connected_components
+from .simhash import keep_first
+
+WIDTH = 5
+SIMILARITY = 0.8
+#: Two sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8.
+BANDS, ROWS = 24, 5
+SEED = 42
+#: Shingles that are permuted at a time: bounds the memory that a very long text takes.
+BLOCK = 1 << 12
+_RANDOM = np.random.default_rng(SEED)
+TIMES, PLUS = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+TIMES |= np.uint64(1)
+JOIN = _RANDOM.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of a whole text's word shingles; of all its words if they are fewer than width."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))] if words else [], np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct hashes; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), BLOCK):
+        mixed = hashes[lo : lo + BLOCK, None] * TIMES + PLUS
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(0))
+    return (least.reshape(BANDS, ROWS) * JOIN).sum(1, dtype=np.uint64).view(np.int64)
+
+
+PRINT = {"doc_id": pa.int64(), "text_hash": pa.int64(), "node": pa.int64(), "n": pa.int64(), "bands": pa.list_(pa.int64())}
+
+
+def _prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingles(t.as_py(), width) for t in batch.column("text")]
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], PRINT["bands"])]
+        yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(PRINT))
+
+
+def _similar(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, last, left = [], [], None, None
+        for r in batch.to_pylist():
+            if r["a"] != last:
+                last, left = r["a"], shingles(r["a_text"], width)
+            if similarity(left, shingles(r["b_text"], width)) >= least:
+                a.append(r["a"])
+                b.append(r["b"])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash and root of every document: documents with one root are near-duplicates, linked by pairs
+    whose sets of word shingles have a Jaccard similarity of `least` or more.
+
+    Texts with equal sets are one node. Nodes that share a band are candidates. Each is compared with the first and
+    the last node of its bands, which joins large groups in steps linear in their size; then all candidates that are
+    still in different components are compared, so none is left out. Similarities are of whole texts.
+    """
+    ship(docs.sparkSession)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    schema = "doc_id long, text_hash long, node long, n long, bands array<long>"
+    own = stage(texts.mapInArrow(lambda batches: _prints(batches, width), schema), "shingle-prints")
+    nodes = own.groupBy("node").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.any_value("bands").alias("bands"))
+    rows = nodes.select("node", "n", "text_hash", F.posexplode("bands").alias("band", "key"))
+    ends = rows.groupBy("band", "key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
+    shared = stage(rows.join(ends, ["band", "key"]), "shingle-bands")
+    named = shared.select("node", "text_hash").distinct()
+    words = stage(texts.select("text_hash", "text").join(named, "text_hash").select("node", "text").dropDuplicates(["node"]), "shingle-texts")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        side = lambda c: words.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
+        joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+        return joined.mapInArrow(lambda batches: _similar(batches, width, least), "a long, b long")
+
+    pair = lambda c: shared.filter(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
+    tried = stage(pair("first").unionByName(pair("last")).distinct(), "shingle-pairs")
+    links = stage(check(tried), "shingle-links")
+    of_node = connected_components(links)
+    rooted = shared.join(of_node, "node", "left").withColumn("root", F.coalesce("component", "node")).select("band", "key", "node", "n", "root")
+    split = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "key")
+    open_ = stage(rooted.join(split, ["band", "key"]), "shingle-open")
+    a, b = open_.alias("a"), open_.alias("b")
+    # Sets whose sizes differ by more than the similarity allows can't have it.
+    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (least - 1e-9)
+    apart = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & sized
+    left = a.join(b, apart).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = stage(check(left), "shingle-links")
+    if more.take(1):
+        of_node = connected_components(links.unionByName(more))
+    return own.join(stage(of_node, "shingle-roots"), "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs (doc_id, text and others) without near-duplicates, by the same rule as simhash.keep_one()."""
+    return keep_first(docs, near_duplicates(docs, **options), F.col("root"))

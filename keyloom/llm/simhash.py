@@ -120,13 +120,17 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, width: in
     return own.join(of_node, "fingerprint").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs (doc_id, text and others) without near-duplicates: of each component the document with the
-    smallest doc_id stays (no doc_id comes last; then by a hash of the text), once."""
+def keep_first(docs: DataFrame, found: DataFrame, group: Column) -> DataFrame:
+    """The rows of docs that come first in their group of found (doc_id, text_hash): by doc_id (none comes last), then
+    by text_hash, once."""
     rank = lambda d, h: F.struct(d.isNull().alias("n"), d.alias("d"), h.alias("h"))
-    found = near_duplicates(docs, **options)
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     keep = found.groupBy(group).agg(F.min(rank(F.col("doc_id"), F.col("text_hash"))).alias("k")).select("k.d", "k.h", "k.n")
     own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("d0"), F.col("doc_id").isNull().alias("n0"), F.xxhash64("text").alias("h0"))
     kept = keep.select(F.coalesce("d", F.lit(0)).alias("d0"), F.col("n").alias("n0"), F.col("h").alias("h0")).distinct()
     return own.join(kept, ["d0", "n0", "h0"], "left_semi").dropDuplicates(["d0", "n0", "h0"]).select("row.*")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs (doc_id, text and others) without near-duplicates: of each component the document with the
+    smallest doc_id stays (no doc_id comes last; then by a hash of the text), once."""
+    return keep_first(docs, near_duplicates(docs, **options), F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint")))

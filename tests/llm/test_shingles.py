@@ -1,0 +1,43 @@
+"""The pipeline's near-duplicates, against all pairs."""
+
+import random
+
+import corpus_pipeline
+from keyloom.llm import shingles
+
+
+def sets(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates_are_all_pairs_at_the_similarity(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for n, edits in ((60, 1), (150, 1), (150, 2), (400, 4), (400, 8), (1000, 20), (150, 12)) * 6:
+        base = [r.choice(vocabulary) for _ in range(n)]
+        for _ in range(3):
+            copy = list(base)
+            for at in r.sample(range(n), edits):
+                copy[at] = r.choice(vocabulary)
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base))
+    texts += [texts[0].upper(), texts[1], "", "  \n", "one", "one", "two words"]
+    own = [sets(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(own):
+        for j, b in enumerate(own[:i]):
+            if a == b or (a | b and len(a & b) / len(a | b) >= 0.8):
+                x, y = root[i], root[j]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, node string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(root))
+    assert shingles.keep_one(docs.filter("false")).count() == 0
+
+
+def test_rows_without_id_or_repeated(spark):
+    df = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "q r s t u v"), (None, None), (7, "")], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.text) for r in shingles.keep_one(df).collect()) == [(False, ""), (False, "a b c d e"), (True, "q r s t u v")]
