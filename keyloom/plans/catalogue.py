@@ -174,6 +174,23 @@ def ef_space(spark: SparkSession, d: str) -> DataFrame:
     return ef_encode(spark, d).select("g", codecs.elias_fano_space(F.col("n"), F.col("m"), F.col("l")).alias("bits"))
 
 
+def all_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's events; sequences() has what the SQL of its queries covers."""
+    return table(spark, d, "events").select(F.col("user_id").alias("g"), F.col("event_id").alias("value"))
+
+
+def ef_encode_all(spark: SparkSession, d: str) -> DataFrame:
+    return codecs.elias_fano_encode(all_sequences(spark, d), "g", "value", "value")
+
+
+def ef_roundtrip_all(spark: SparkSession, d: str) -> DataFrame:
+    return codecs.elias_fano_decode(ef_encode_all(spark, d), "g")
+
+
+def ef_space_all(spark: SparkSession, d: str) -> DataFrame:
+    return ef_encode_all(spark, d).select("g", codecs.elias_fano_space(F.col("n"), F.col("m"), F.col("l")).alias("bits"))
+
+
 def bit_strings(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     back = codecs.bits_to_int(codecs.bits_lsb_first(k))
@@ -378,7 +395,7 @@ def random_keys_profile(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = """murmur32_keys murmur32_seeds murmur128_keys murmur64_keys ranges bucket_sizes table_prefix class_assign class_counts
 golomb_encode golomb_decode golomb_bits golomb_params_bijection golomb_params_split fanout_table subtree_table ef_encode
-ef_roundtrip ef_space bit_strings bit_pack bit_unpack popcount_words rank_bits select_ones rank9_counts rank9_lookup
+ef_roundtrip ef_space ef_encode_all ef_roundtrip_all ef_space_all bit_strings bit_pack bit_unpack popcount_words rank_bits select_ones rank9_counts rank9_lookup
 select_inventory ribbon_retrieve burr_retrieve burr_retrieve_3 recsplit_values recsplit_text_values recsplit_verify
 recsplit_nodes sichash_perfect_verify sichash_minimal_values sichash_holes shockhash_values bipartite_values
 shockrecsplit_values dictionary_encode_join space_recsplit space_sichash param_grid param_grid_recsplit grid_run grid_average distinct_parts dedupe_lines
