@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, range_bounds
+from .common import bucket_of, let, range_bounds
 
 #: A section ends after an empty line, a paragraph after a line break; both keep their line breaks.
 SECTION_END = r"(?<=\n\n)(?=[^\n])"
 PARAGRAPH_END = r"(?<=\n)(?=[^\n])"
-#: Pieces of a paragraph, two words each from its start: the finest branches that are compared.
-PIECE = r"\S++(?:\s++\S++)?"
+#: Atoms of a paragraph end where the characters around say so, wherever they stand: before a word, after a character of
+#: a script without spaces, and in a long run of other characters after a vowel or digit.
+ATOM_END = r"(?<=\s)(?=\S)|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])(?=\S)|(?<=\S{24}[aeiouAEIOU0-9])(?=\S)"
 ROWS_PER_BUCKET = 1_000
 
 
@@ -19,13 +20,22 @@ def _node(kind: str, content: Column) -> Column:
     return F.sha2(F.concat(F.lit(kind), content).cast("binary"), 256)
 
 
+def _branches(paragraph: Column) -> Column:
+    """Hashes of a paragraph's finest branches: every two atoms in a row, so an edit changes those around it only."""
+    pair = lambda atoms: lambda x, i: _node("b", F.concat(x, F.coalesce(F.get(atoms, i + 1), F.lit(""))))
+    # The last atom is in the pair before it, unless it is the only one.
+    pairs = lambda atoms: F.slice(F.transform(atoms, pair(atoms)), F.lit(1), F.greatest(F.size(atoms) - 1, F.lit(1)))
+    return let(F.split(paragraph, ATOM_END, -1), pairs)
+
+
 def tree(text: Column) -> Column:
     """struct(root, sections): per section its hash and its paragraphs' hashes, all SHA-256 in hex.
 
-    A paragraph's hash covers its characters, a section's its paragraphs' hashes, the root the sections' hashes; each
-    kind of node has its own prefix. So equal texts have equal roots and unequal texts have unequal ones.
+    A branch's hash covers the characters of two atoms, a paragraph's its branches' hashes, a section's its paragraphs'
+    hashes, the root the sections' hashes; each kind of node has its own prefix. So equal texts have equal roots and
+    unequal texts have unequal ones.
     """
-    paragraphs = lambda s: F.transform(F.split(s, PARAGRAPH_END, -1), lambda p: _node("p", p))
+    paragraphs = lambda s: F.transform(F.split(s, PARAGRAPH_END, -1), lambda p: _node("p", F.array_join(_branches(p), "")))
     sections = F.transform(F.split(text, SECTION_END, -1), paragraphs)
     hashed = F.transform(sections, lambda p: F.struct(_node("s", F.array_join(p, "")).alias("hash"), p.alias("paragraphs")))
     root = lambda s: F.struct(_node("d", F.array_join(F.transform(s, lambda x: x["hash"]), "")).alias("root"), s.alias("sections"))
@@ -33,9 +43,9 @@ def tree(text: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """Hashes of the pieces of every paragraph, in order."""
-    cut = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), 0), lambda x: F.xxhash64(x))
-    return F.flatten(F.transform(F.split(text, PARAGRAPH_END, -1), cut))
+    """The tree's finest branches in order, each by a 64-bit hash of its node's; none for an empty text."""
+    cut = lambda p: F.transform(_branches(p), lambda x: F.xxhash64(x))
+    return F.when(F.length(text) > 0, F.flatten(F.transform(F.split(text, PARAGRAPH_END, -1), cut))).otherwise(F.array().cast("array<bigint>"))
 
 
 def differing_branches(a: Column, b: Column) -> Column:
