@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .common import stage
-from .tokens import encoder
+from .tokens import blocks, encoder
 
 WINDOW = 2048
 OPEN = 64
@@ -85,12 +85,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer, task = encoder(tokenizer), BoundedPacker(window, opened), TaskContext.get().partitionId()
-        end, made = np.array([end_id], coder.dtype).tobytes(), task << 36
+        made = task << 36
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part, closed = batch.slice(lo, 512).to_pydict(), []
-                for doc_id, coded in zip(part["doc_id"], coder.encode(part["text"])):
-                    ids = np.frombuffer(coded + end, coder.dtype).astype("<u4")
+            for part in blocks(batch):
+                coded, bounds = coder.closed(part.column("text"), end_id)
+                coded, closed, bounds = coded.astype("<u4"), [], bounds.tolist()
+                for doc_id, lo, hi in zip(part.column("doc_id").to_pylist(), bounds, bounds[1:]):
+                    ids = coded[lo:hi]
                     for start in range(0, len(ids), window):
                         piece = ids[start : start + window]
                         item = (doc_id, start, zlib.crc32(piece.tobytes()), len(ids), len(piece), piece.astype(np.int32) if with_ids else None)

@@ -12,6 +12,7 @@ record: its offset (unsigned 64-bit) and number of ids (unsigned 64-bit), so a r
 
 from __future__ import annotations
 
+import contextlib
 import os
 import struct
 import uuid
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from .common import bucket_of, prefix, range_bounds, stage, stage_path
-from .tokens import encoder
+from .tokens import blocks, encoder
 
 MASK = 0xA282EAD8
-ROWS_PER_FILE = 4_000
+#: Bytes of text in a file, up to one cell more, and rows in a cell.
+BYTES_PER_FILE, ROWS_PER_CELL = 1 << 24, 250
 HEAD = struct.Struct("<QI")
 WHO = struct.Struct("<BqB")
 ENTRY = struct.Struct("<QQ")
@@ -90,6 +92,13 @@ class _Writer:
         self.docs += 1
         self.tokens += len(ids) // width
 
+    def discard(self) -> None:
+        """Remove what a task that failed has written."""
+        for stream, end in ((self.out, "rec"), (self.index, "idx")):
+            with contextlib.suppress(OSError):
+                stream.close()
+                self.fs.delete_file(f"{self.draft}.{end}")
+
     def close(self) -> dict:
         self.out.close()
         self.index.close()
@@ -102,21 +111,31 @@ MANIFEST = "bucket int, file string, docs long, tokens long, bytes long"
 MANIFEST_KINDS = {"bucket": pa.int32(), "file": pa.string(), "docs": pa.int64(), "tokens": pa.int64(), "bytes": pa.int64()}
 
 
-def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    coder, out, kinds = encoder(tokenizer), None, pa.schema(MANIFEST_KINDS)
-    width = coder.dtype.itemsize
-    end = np.array([end_id], coder.dtype).tobytes()
+def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    coder = encoder(tokenizer)
     for batch in batches:
-        for lo in range(0, len(batch), 512):
-            part = batch.slice(lo, 512).to_pydict()
-            for bucket, doc_id, ids in zip(part["bucket"], part["doc_id"], coder.encode(part["text"])):
+        for part in blocks(batch):
+            ids, bounds = coder.closed(part.column("text"), end_id)
+            data = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(bounds * coder.dtype.itemsize), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([part.column("bucket"), part.column("doc_id"), part.column("text_hash"), data.cast(pa.binary())], names=["bucket", "doc_id", "text_hash", "ids"])
+
+
+def _write(batches: Iterator[pa.RecordBatch], width: int, folder: str) -> Iterator[pa.RecordBatch]:
+    out, kinds = None, pa.schema(MANIFEST_KINDS)
+    try:
+        for batch in batches:
+            for bucket, doc_id, ids in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
                 if out is None or out.bucket != bucket:
                     if out:
                         yield pa.RecordBatch.from_pydict(out.close(), schema=kinds)
                     out = _Writer(folder, bucket)
-                out.add(doc_id, ids + end, width)
-    if out:
-        yield pa.RecordBatch.from_pydict(out.close(), schema=kinds)
+                out.add(doc_id, ids.as_py(), width)
+        if out:
+            yield pa.RecordBatch.from_pydict(out.close(), schema=kinds)
+    except BaseException:
+        if out:
+            out.discard()
+        raise
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,21 +158,38 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(k, pa.int64()) for k in rows]))
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, rows_per_file: int = ROWS_PER_FILE, folder: str | None = None) -> DataFrame:
+def file_bounds(docs: DataFrame, bytes_per_file: int, rows_per_cell: int) -> list:
+    """Smallest doc_id of each file, ascending: range cells of about rows_per_cell rows, put together up to
+    bytes_per_file bytes of text. The driver holds one total a cell, at most MAX_BUCKETS."""
+    cells = range_bounds(docs, "doc_id", rows_per_cell)
+    sizes = docs.select(bucket_of(F.col("doc_id"), cells).alias("cell"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+    totals = dict(sizes.groupBy("cell").agg(F.sum("size")).collect())
+    out, held = [], 0
+    for i, first in enumerate(cells):
+        if not out or held + totals.get(i, 0) > bytes_per_file:
+            out.append(first)
+            held = 0
+        held += totals.get(i, 0)
+    return out
+
+
+def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, bytes_per_file: int = BYTES_PER_FILE, rows_per_cell: int = ROWS_PER_CELL, folder: str | None = None) -> DataFrame:
     """Encode every whole text (null: empty), append end_id, and write records in ascending doc_id (null first; ties
     by a hash of the text) to files that are themselves in that order. Returns the manifest, one row a file.
 
-    One shuffle by range bucket; a task streams its sorted rows to files, so it holds one batch of texts. A repeated
-    task writes the same bytes under a name of its own and moves them into place.
+    Texts are encoded where they are read, and one shuffle brings ids to their files, one task a file; a task streams
+    its sorted rows, so it holds one batch of ids. A repeated task writes the same bytes under a name of its own and
+    moves them into place; one that fails removes what it has written.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or stage_path(spark, "records")
-    bounds = range_bounds(docs, "doc_id", rows_per_file)
-    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket_of(F.col("doc_id"), bounds).cast("int").alias("bucket"))
-    placed = placed.repartition(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
-
-    return stage(placed.mapInArrow(lambda batches: _write(batches, tokenizer, folder, end_id), MANIFEST), "records-manifest")
+    bounds, width = file_bounds(docs, bytes_per_file, rows_per_cell), encoder(tokenizer).dtype.itemsize
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"), bucket_of(F.col("doc_id"), bounds).cast("int").alias("bucket"))
+    coded = own.mapInArrow(lambda batches: _encode(batches, tokenizer, end_id), "bucket int, doc_id long, text_hash long, ids binary")
+    placed = coded.repartitionById(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", "doc_id", "text_hash")
+    return stage(placed.drop("text_hash").mapInArrow(lambda batches: _write(batches, width, folder), MANIFEST), "records-manifest")
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
@@ -162,5 +198,5 @@ def read_records(manifest: DataFrame) -> DataFrame:
     ship(manifest.sparkSession)
     files = manifest.join(F.broadcast(prefix(manifest.select("bucket", "tokens"), "bucket", ["tokens"])), "bucket")
     tasks = max(1, min(4096, manifest.count()))
-
-    return files.select("bucket", "file", "tokens_before").repartition(tasks, "bucket").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    dealt = files.select("file", "tokens_before", F.pmod("bucket", F.lit(tasks)).alias("task")).repartitionById(tasks, "task").drop("task")
+    return dealt.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

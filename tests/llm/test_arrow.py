@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -128,7 +129,6 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(byte_bpe())
-    t.encode_special_tokens = True
     return [t.encode(text or "", add_special_tokens=False).ids for _, text in CORPUS], t
 
 
@@ -139,13 +139,26 @@ def test_pieces_encode_as_whole_texts():
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)]
     coder = encoder(byte_bpe())
     for lo in range(0, len(texts), 400):
-        got = [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts[lo : lo + 400])]
+        coded, at = coder.encode(pa.array(texts[lo : lo + 400]).slice(0))
+        got = [coded[a:b].tolist() for a, b in zip(at, at[1:])]
         assert got == [e.ids for e in t.encode_batch(texts[lo : lo + 400], add_special_tokens=False)]
 
 
+def test_pieces_of_latin_words_marks_and_wide_spaces():
+    _, t = reference_ids()
+    parts = ["word", " Zoë", "façon,", "ñ.", "×", "÷", "\u3000", "\u2003", "\u00a0", "it's", "don't,", "(a)", "\n", "\n\n", " ", "  ", "é", "É!", "ß", "中。", "\ud7a3", "x" * 60, "_", "9", "\x1f", "\x7f"]
+    r = random.Random(4)
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(6000)]
+    coder = encoder(byte_bpe())
+    for lo in range(0, len(texts), 500):
+        coded, at = coder.encode(pa.array([""] + texts[lo : lo + 500]).slice(1))
+        assert [coded[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in t.encode_batch(texts[lo : lo + 500], add_special_tokens=False)]
+    assert [x.tolist() for x in coder.encode(pa.array([], pa.string()))] == [[], [0]]
+
+
 def test_records_round_trip(docs, tmp_path):
     ids, _ = reference_ids()
-    manifest = records.write_records(docs, byte_bpe(), end_id=0, rows_per_file=9, folder=str(tmp_path / "out"))
+    manifest = records.write_records(docs, byte_bpe(), end_id=0, bytes_per_file=4000, rows_per_cell=9, folder=str(tmp_path / "out"))
     got, at = sorted(map(tuple, records.read_records(manifest).collect())), 0
     for (i, _), own, row in zip(CORPUS, ids, got):
         assert row == (i, at, len(own) + 1, zlib.crc32(np.array(own + [0], "<u4").tobytes()))
