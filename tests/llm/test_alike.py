@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from keyloom.llm import shingles
+from keyloom.llm import alike
 
 
 def sets(text):
@@ -35,9 +35,9 @@ def test_near_duplicates_are_all_pairs_at_the_similarity(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(root))
-    assert shingles.keep_one(docs.filter("false")).count() == 0
+    assert alike.keep_one(docs.filter("false")).count() == 0
 
 
 def test_rows_without_id_or_repeated(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "q r s t u v"), (None, None), (7, "")], "doc_id long, text string")
-    assert sorted((r.doc_id is None, r.text) for r in shingles.keep_one(df).collect()) == [(False, ""), (False, "a b c d e"), (True, "q r s t u v")]
+    assert sorted((r.doc_id is None, r.text) for r in alike.keep_one(df).collect()) == [(False, ""), (False, "a b c d e"), (True, "q r s t u v")]
