@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import mixing, packing, pii, quality, shingles
+from keyloom.llm import alike, mixing, packing, pii, quality
 from keyloom.llm.common import stage, table
 from keyloom.llm.queries import byte_bpe
 
@@ -19,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
-    return shingles.keep_one(docs)
+    """One document of each group of near-duplicates: wide SimHashes propose pairs, a Jaccard similarity of
+    five-word shingles of 0.8 or more decides."""
+    return alike.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
