@@ -15,13 +15,13 @@ MAX_LABELLED = 20_000
 CUTS = 48
 FEATURES = {
     "n_words": lambda c: c("n_words").cast("double"),
-    "mean_word": lambda c: c("word_chars") / c("n_words"),
-    "symbols_per_word": lambda c: c("n_symbols") / c("n_words"),
-    "dup_line_share": lambda c: c("n_dup_lines") / c("n_lines"),
-    "repeat_share": lambda c: c("n_repeat_words") / c("n_words"),
-    "capitals_per_word": lambda c: c("n_capitals") / c("n_words"),
-    "exclaims_per_word": lambda c: c("n_exclaims") / c("n_words"),
-    "digits_per_word": lambda c: c("n_digits") / c("n_words"),
+    "mean_word": lambda c: F.try_divide(c("word_chars"), c("n_words")),
+    "symbols_per_word": lambda c: F.try_divide(c("n_symbols"), c("n_words")),
+    "dup_line_share": lambda c: F.try_divide(c("n_dup_lines"), c("n_lines")),
+    "repeat_share": lambda c: F.try_divide(c("n_repeat_words"), c("n_words")),
+    "capitals_per_word": lambda c: F.try_divide(c("n_capitals"), c("n_words")),
+    "exclaims_per_word": lambda c: F.try_divide(c("n_exclaims"), c("n_words")),
+    "digits_per_word": lambda c: F.try_divide(c("n_digits"), c("n_words")),
 }
 
 
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **
 
 
 def verdict(rules: list[list[tuple]]) -> Column:
-    """The decision list as one ordered conditional over the statistics: true to keep."""
+    """The decision list as one ordered conditional over the statistics: true to keep. A share of nothing is 0."""
     features, names = _features(), list(FEATURES)
     out = None
     for rule in rules:
