@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, stage
+from .common import let, stage
 
 #: Fixed patterns. Matches are leftmost and non-overlapping for each kind. They are written so that no start inside a
 #: run that has failed is tried again and no repetition is backtracked into, so time is linear in the text.
@@ -15,11 +15,12 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-TERM = r"^\p{L}[\p{L}'’-]{2,40}$"
+#: Characters without which a text has no match.
+NEEDED = {"email": "@", "ip": ".", "phone": "+"}
+#: Terms: runs of 3 to 41 letters, with apostrophes and hyphens inside and no digit beside.
+TERM = r"(?<![\p{L}\p{N}])\p{L}(?:['’-]?\p{L}){2,40}+(?!['’-]?\p{L}|\p{N})"
 
-CONTEXT_WORDS = 8
-CONTEXT_CHARS = 200
-MIN_CONTEXTS = 3
+MIN_TEXTS = 3
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 #: Tables of at most this many rows (under 200 bytes each) are broadcast; larger ones are joined by a shuffle.
@@ -51,29 +52,46 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-SPAN = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+#: Numbers that are summed one after the other; more are summed by blocks of so many.
+RUN = 128
+
+
+def running(numbers: Column) -> Column:
+    """Sums of the numbers before each, for an array of any length: by blocks, so no array is copied for each number."""
+
+    def plain(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, start, lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    def by_blocks(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda i: F.slice(x, i * RUN + 1, F.lit(RUN)))
+        total = lambda b: F.aggregate(b, F.lit(0), lambda a, v: a + v)
+        moved = lambda bs: F.flatten(F.zip_with(bs, plain(F.transform(bs, total)), lambda b, at: F.transform(plain(b), lambda v: v + at)))
+        return let(blocks, moved)
+
+    return let(numbers, lambda x: F.when(F.size(x) <= RUN, plain(x)).otherwise(by_blocks(x)))
 
 
 def find_spans(text: Column, kind: str, pattern: Column) -> Column:
-    """Spans of a pattern in code points, end exclusive, with the text between matches on either side.
+    """Spans of a pattern in code points, end exclusive.
 
     The pieces that the pattern splits the text into and the matches alternate, so their lengths add up to positions.
     """
 
     def walk(gaps: Column, found: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+        ends = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
 
-        def step(a: Column, i: Column) -> Column:
-            begin = a["at"] + F.length(F.get(gaps, i))
-            end = begin + F.length(F.get(found, i))
-            span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), F.get(found, i).alias("value"), F.substring(F.get(gaps, i), -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), F.substring(F.get(gaps, i + 1), 1, CONTEXT_CHARS).alias("after"))
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).cast(SPAN).alias("out"))
+        def span(begin: Column, i: Column) -> Column:
+            start = begin + F.length(F.get(gaps, i))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(F.get(found, i))).alias("end"), F.get(found, i).alias("value"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
+        return F.transform(running(ends), span)
 
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, 0)
     spans = let(gaps, lambda g: let(found, lambda m: walk(g, m)))
-    return F.when(F.regexp_like(text, pattern), spans).otherwise(F.array().cast(SPAN))
+    may = F.contains(text, F.lit(NEEDED[kind])) if kind in NEEDED else F.lit(True)
+    return F.when(may & F.regexp_like(text, pattern), spans).otherwise(F.array()).cast(SPAN)
 
 
 def base_spans(text: Column) -> Column:
@@ -82,51 +100,56 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(F.filter(find_spans(text, k, F.lit(p)), passing(k)) for k, p in KINDS.items()))
 
 
-def _text(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_hash", F.xxhash64("text"))
+def _entities(spans: Column) -> Column:
+    """What spans protect: their values, letters folded and numbers as digits; of mail addresses also the name before
+    the @ and the domain, which recur where addresses don't."""
+
+    def of(s: Column) -> Column:
+        value = F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"]))
+        whole = F.concat_ws(":", s["kind"], value)
+        mail = F.array(whole, F.concat(F.lit("name:"), F.substring_index(value, "@", 1)), F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)))
+        return F.when(s["kind"] == "email", mail).otherwise(F.array(whole))
 
+    return F.array_distinct(F.flatten(F.transform(spans, of)))
 
-def disclosing_terms(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """Terms that reveal a protected entity, estimated over the whole corpus: doc_id, text_hash, term, share.
 
-    A protected entity c is the value of a base span (letters folded, punctuation of numbers dropped). A term t is a
-    word of letters within CONTEXT_WORDS of it. With N documents, n(t), n(c) and n(t, c) counting distinct texts (for
-    the pair: distinct contexts, so copies of a passage count once), a term's share of what there is to know about c is
-    PMI(t, c) / IC(c) = log(n(t, c) N / (n(t) n(c))) / log(N / n(c)). It is 1 when t occurs nowhere but beside c. Terms
-    seen beside c in at least min_contexts contexts whose share is generalise_at or more are returned for every
-    document that holds c.
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))
+
+
+def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def disclosing_terms(texts: DataFrame, seen: DataFrame, min_texts: int = MIN_TEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """Terms that reveal a protected entity, estimated over the whole corpus: text_hash, term, share, for every text that
+    holds one, whether it holds the entity or not.
+
+    texts has text_hash and text, seen has text_hash, text and spans (base_spans()) of those with any. All counts are of
+    distinct texts. With N texts, n(t), n(c) and n(t, c) having the term t, the entity c and both, a term's share of
+    what there is to know about c is PMI(t, c) / IC(c) = log(n(t, c) N / (n(t) n(c))) / log(N / n(c)). It is 1 when t
+    occurs in no text without c. Terms in min_texts texts with c whose share is generalise_at or more are returned, with
+    their highest share.
     """
-    base = _text(docs.select("doc_id", "text"))
-    seen = stage(
-        base.withColumn("spans", base_spans(F.col("text")))
-        .select("doc_id", "text_hash", F.explode("spans").alias("s"))
-        .select(
-            "doc_id",
-            "text_hash",
-            F.concat_ws(":", "s.kind", F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))).alias("entity"),
-            F.slice(F.reverse(F.regexp_extract_all(F.lower("s.before"), F.lit(WORD), 0)), 1, CONTEXT_WORDS).alias("before"),
-            F.slice(F.regexp_extract_all(F.lower("s.after"), F.lit(WORD), 0), 1, CONTEXT_WORDS).alias("after"),
-        ),
-        "pii-seen",
-    )
-    bare = lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", "")
-    beside = seen.select("entity", "text_hash", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("w"))
-    beside = stage(beside.select("entity", "text_hash", "context", bare(F.col("w")).alias("term")).filter(F.col("term").rlike(TERM)), "pii-beside")
-    n = F.lit(float(max(docs.count(), 1)))
-    n_entity = seen.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_beside = beside.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    pairs = beside.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_contexts)
-    # n(t) is at least the number of texts that have t beside any entity; a pair whose share can't be reached goes here.
+    n = F.lit(float(max(texts.select("text_hash").distinct().count(), 1)))
+    held = seen.dropDuplicates(["text_hash"])
+    entities = stage(held.select("text_hash", F.explode(_entities(F.col("spans"))).alias("entity")), "pii-entities")
+    # An entity of fewer texts has no term in min_texts of them, so its texts' terms need not be paired with it.
+    n_entity = stage(entities.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_texts), "pii-counts")
+    entities = stage(entities.join(_bounded(n_entity), "entity"), "pii-recurring")
+    beside = stage(held.join(_bounded(entities.select("text_hash").distinct()), "text_hash").select("text_hash", F.explode(_terms(F.col("text"))).alias("term")), "pii-beside")
+    n_beside = beside.groupBy("term").agg(F.count("*").alias("n_beside")).filter(F.col("n_beside") >= min_texts)
+    both = beside.join(entities, "text_hash").groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= min_texts)
+    # n(t) is at least the number of texts that have t beside any recurring entity; a pair that can't reach its share goes here.
     reach = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - generalise_at))
-    pairs = stage(pairs.join(n_entity, "entity").join(n_beside, "term").filter(F.col("n_beside") <= reach).drop("n_beside"), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    held = base.select("text_hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}'’-]*"), 0))).alias("w"))
-    n_term = held.select("text_hash", bare(F.col("w")).alias("term")).join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    known = F.log(n / F.col("n_entity"))
-    told = F.log(F.least("n_both", "n_term", "n_entity") * n / (F.col("n_term") * F.col("n_entity")))
-    flagged = pairs.join(n_term, "term").withColumn("share", told / known).filter((known > 0) & (F.col("share") >= generalise_at)).select("entity", "term", "share")
-    return seen.select("doc_id", "text_hash", "entity").distinct().join(flagged, "entity").groupBy("doc_id", "text_hash", "term").agg(F.max("share").alias("share"))
+    pairs = stage(both.join(n_beside, "term").filter((F.col("n_beside") <= reach * (1 + 1e-9)) & (F.col("n_entity") < n)).drop("n_beside"), "pii-pairs")
+    own = texts.select("text_hash", F.explode(_terms(F.col("text"))).alias("term"))
+    holders = stage(own.join(_bounded(pairs.select("term").distinct()), "term").distinct(), "pii-holders")
+    n_term = holders.groupBy("term").agg(F.count("*").alias("n_term"))
+    told = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
+    share = pairs.join(n_term, "term").withColumn("share", told / F.log(n / F.col("n_entity")))
+    flagged = share.filter(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"))
+    return holders.join(flagged, "term").select("text_hash", "term", "share")
 
 
 def find_personal_data(docs: DataFrame, remove_at: float = REMOVE_AT, **options) -> DataFrame:
@@ -135,17 +158,20 @@ def find_personal_data(docs: DataFrame, remove_at: float = REMOVE_AT, **options)
     Returns row (a struct of the columns of docs, whatever their names), base and spans (arrays of kind, start, end,
     value; base kinds in their order, then term), and clean: base spans become their kind's tag, terms are removed from
     remove_at upwards and generalised to <NAME> or <WORD> below. Overlapping spans are replaced together, by the tag of
-    the first. Terms that overlap a base span are left to it. A null text stays null in clean.
+    the first. Terms that overlap a base span are left to it. A null text stays null in clean. Near copies are texts of
+    their own, so what they alone have is told by an entity in them; where that isn't wanted, drop them first.
     """
-    by_doc = disclosing_terms(docs, **options).groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))
-    by_doc = stage(by_doc, "pii-terms").withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
-    by_doc = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS else by_doc
-    own = _text(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
-    any_term = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    seen = stage(texts.withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0), "pii-seen")
+    by_text = disclosing_terms(texts, seen, **options).groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))
+    by_text = _bounded(stage(by_text, "pii-terms").withColumnRenamed("text_hash", "h"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64(text).alias("text_hash")).join(by_text, F.col("text_hash") == F.col("h"), "left")
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    told = lambda t: F.element_at("terms", F.lower(t["value"])).isNotNull() & apart(t)
     spans = (
         own.withColumn("base", base_spans(F.col("text")))
-        .withColumn("found", F.when(F.col("terms").isNotNull(), F.filter(find_spans(F.col("text"), "term", any_term), apart)).otherwise(F.array().cast(SPAN)))
+        .withColumn("found", F.when(F.col("terms").isNotNull(), F.filter(find_spans(F.col("text"), "term", F.lit(TERM)), told)).otherwise(F.array().cast(SPAN)))
         .withColumn("spans", F.concat("base", "found"))
     )
 
