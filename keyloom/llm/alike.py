@@ -21,21 +21,26 @@ from .words import grams, mixed, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
-#: Probability that two sets at the similarity share a signature, and that their first 64 bits differ as little as is let.
-RECALL, CHECK_RECALL = 0.998, 0.9995
+#: Probability that two sets at the similarity share a signature, and that their checks differ as little as is let.
+RECALL, CHECK_RECALL = 0.994, 0.9995
+#: 64-bit words of a fingerprint that make its check.
+CHECK = 2
 #: Least bits of a segment; it has so many that few of n fingerprints at random share one with a bit deleted.
 SEGMENT = 16
 #: Candidates of a node that are compared first; all others are if that doesn't put both in one component.
 NEAREST = 3
-#: Hashes whose bits are counted at a time, and rows of a bucket that are compared pair by pair at once.
-BLOCK, SMALL = 1 << 15, 64
+#: Rows of a bucket that are compared pair by pair at once.
+SMALL = 64
 #: Tables of at most this many rows (16 bytes each) are broadcast.
 BROADCAST_ROWS = 200_000
 TIMES = np.random.default_rng(42).integers(0, 1 << 64, 4096, np.uint64) | np.uint64(1)
 
 
+CHECKS = [f"check{i}" for i in range(CHECK)]
+
+
 class Shape(NamedTuple):
-    """Bits of a segment, segments, segments in a 64-bit word, and bits in which the first 64 may differ."""
+    """Bits of a segment, segments, segments in a 64-bit word, and bits in which two checks may differ."""
 
     bits: int
     segments: int
@@ -44,7 +49,7 @@ class Shape(NamedTuple):
 
     @property
     def words(self) -> int:
-        return 1 + math.ceil(self.segments / self.in_word)
+        return max(CHECK, math.ceil(self.segments / self.in_word))
 
 
 def shape(n: int, least: float = SIMILARITY) -> Shape:
@@ -57,13 +62,13 @@ def shape(n: int, least: float = SIMILARITY) -> Shape:
     most, told = -1, 0.0
     while told < CHECK_RECALL:
         most += 1
-        told += math.comb(64, most) * p**most * (1 - p) ** (64 - most)
+        told += math.comb(64 * CHECK, most) * p**most * (1 - p) ** (64 * CHECK - most)
     return Shape(bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - one))) if one < 1 else 1, 64 // bits, most)
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): text i has the distinct word shingles hashes[bounds[i] : bounds[i + 1]], ascending; one of all
-    its words if they are fewer than width; none if it has no word."""
+    """(hashes, bounds): text i has the distinct word shingles hashes[bounds[i] : bounds[i + 1]], ascending, by 48 bits
+    each; one of all its words if they are fewer than width; none if it has no word. At most 65,536 texts."""
     hashes, words = word_hashes(texts)
     n = np.diff(words)
     owner = np.repeat(np.arange(len(n)), n)
@@ -71,26 +76,34 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.nd
     inside = np.arange(len(hashes)) + width <= words[1:][owner]
     for i in np.flatnonzero((n > 0) & (n < width)):
         found[words[i]], inside[words[i]] = grams(hashes[words[i] : words[i + 1]], int(n[i]))[0] + np.uint64(n[i]), True
-    found, owner = found[inside], owner[inside]
-    order = np.lexsort((found, owner))
-    found, owner = found[order], owner[order]
-    new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])]) if len(found) else np.empty(0, bool)
-    return found[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
+    # Texts by their number and 48 bits of a hash sort as one number.
+    keys = np.sort((owner[inside].astype(np.uint64) << np.uint64(48)) | (found[inside] >> np.uint64(16)))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    bounds = np.searchsorted(keys >> np.uint64(48), np.arange(len(n) + 1, dtype=np.uint64))
+    return keys & np.uint64((1 << 48) - 1), bounds
 
 
 def simhashes(hashes: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
-    """SimHashes of sets, as rows of 64-bit words; zero for an empty set."""
+    """SimHashes of sets, as rows of 64-bit words; zero for an empty set.
+
+    Every eighth bit of a hash is spread over the bytes of a number, and up to 255 such numbers are added without carry.
+    """
     n = np.diff(bounds)
-    owner = np.repeat(np.arange(len(n)), n)
     out = np.zeros((len(n), words), np.uint64)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out
+    parts = -(-n[full] // 255)
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(bounds[:-1][full], parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    lanes = np.uint64(0x0101010101010101)
     for w in range(words):
-        counts = np.zeros((len(n), 64), np.int64)
-        for lo in range(0, len(hashes), BLOCK):
-            own = owner[lo : lo + BLOCK]
-            bits = np.unpackbits(mixed(hashes[lo : lo + BLOCK] * TIMES[w]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            counts[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[:, w] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        mine = mixed(hashes * TIMES[w])
+        counts = np.empty((len(full), 8, 8), np.int64)
+        for bit in range(8):
+            sums = np.add.reduceat((mine >> np.uint64(bit)) & lanes, starts)
+            counts[:, :, bit] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        out[full, w] = np.packbits(2 * counts.reshape(-1, 64) > n[full][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
@@ -104,8 +117,8 @@ def _prints(batches: Iterator[pa.RecordBatch], width: int, words: int) -> Iterat
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], made: Shape) -> Iterator[pa.RecordBatch]:
-    """(key, node, check) for every segment of a fingerprint and every bit of it, which the key leaves out; check is the
-    fingerprint's first word, which no segment uses."""
+    """(key, node, check) for every segment of a fingerprint and every bit of it, which the key leaves out; the check is
+    the fingerprint's first words."""
     bits, mask = np.uint64(made.bits), np.uint64((1 << made.bits) - 1)
     wild = np.arange(made.bits, dtype=np.uint64)
     for batch in batches:
@@ -116,28 +129,27 @@ def _signatures(batches: Iterator[pa.RecordBatch], made: Shape) -> Iterator[pa.R
                 continue
             prints = np.array(part.column("print").to_pylist(), np.int64).view(np.uint64)
             for s in range(made.segments):
-                segment = prints[:, 1 + s // made.in_word] >> np.uint64(s % made.in_word) * bits & mask
+                segment = prints[:, s // made.in_word] >> np.uint64(s % made.in_word) * bits & mask
                 rest = segment[:, None] & ~(np.uint64(1) << wild)
                 key = ((np.uint64(s) << np.uint64(5) | wild)[None, :] << np.uint64(32)) | rest
-                yield pa.RecordBatch.from_pydict({"key": key.reshape(-1).view(np.int64), "node": np.repeat(node, made.bits), "check": np.repeat(prints[:, 0], made.bits).view(np.int64)})
+                yield pa.RecordBatch.from_pydict({"key": key.reshape(-1).view(np.int64), "node": np.repeat(node, made.bits), **{f"check{i}": np.repeat(prints[:, i], made.bits).view(np.int64) for i in range(CHECK)}})
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    return np.bitwise_count(a ^ b).sum(0, dtype=np.int64)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of each bucket (rows with one key, which come together) that has two rows whose checks differ in at most `most`
-    bits: candidates, as rows with key -1, node (the leader), other and value (the distance); and all its rows, with
-    value the check. A leader is the first row that is near no leader before, so each row is a candidate with one
+    bits: candidates, as rows with key -1, node (the leader), other and check0 (the distance); and all its rows. A leader is the first row that is near no leader before, so each row is a candidate with one
     leader at most, however large the bucket."""
-    kinds = pa.schema({"key": pa.int64(), "node": pa.int64(), "other": pa.int64(), "value": pa.int64()})
+    kinds = pa.schema([(n, pa.int64()) for n in ("key", "node", "other", *CHECKS)])
 
     def near_pairs(key: np.ndarray, check: np.ndarray, longest: int) -> np.ndarray:
         """Whether a row of a small bucket is near one of the rows after it."""
         out = np.zeros(len(key), bool)
         for step in range(1, longest):
-            out[:-step] |= (key[step:] == key[:-step]) & (_apart(check[step:], check[:-step]) <= most)
+            out[:-step] |= (key[step:] == key[:-step]) & (_apart(check[:, step:], check[:, :-step]) <= most)
         return out
 
     def of(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
@@ -147,34 +159,34 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         open_ = size > SMALL
         if (size[small] > 1).any():
             open_ |= small & np.logical_or.reduceat(near_pairs(key, check, int(size[small].max())), starts)
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * 4]
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * (3 + CHECK)]
         for lo, n in zip(starts[open_].tolist(), size[open_].tolist()):
             own = np.arange(lo, lo + n)
             own = own[np.argsort(node[own], kind="stable")]
             left, found = own, False
             while len(left) > 1:
                 leader, left = left[0], left[1:]
-                distance = _apart(check[left], check[leader])
+                distance = _apart(check[:, left], check[:, leader, None])
                 near = distance <= most
                 if near.any():
                     found = True
                     k = int(near.sum())
-                    out.append([np.full(k, -1), np.full(k, node[leader]), node[left[near]], distance[near].astype(np.int64)])
+                    out.append([np.full(k, -1), np.full(k, node[leader]), node[left[near]], distance[near], *[np.zeros(k, np.int64)] * (CHECK - 1)])
                     left = left[~near]
             if found:
-                out.append([key[own], node[own], np.full(n, -1), check[own].view(np.int64)])
+                out.append([key[own], node[own], np.full(n, -1), *check[:, own].view(np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=kinds)
 
-    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+    held = np.empty((2 + CHECK, 0), np.int64)
     for batch in batches:
-        rows = [np.concatenate([h, c]) for h, c in zip(held, (batch.column("key").to_numpy(), batch.column("node").to_numpy(), batch.column("check").to_numpy().view(np.uint64)))]
-        if len(rows[0]):
+        rows = np.concatenate([held, np.array([batch.column(n).to_numpy() for n in ("key", "node", *CHECKS)], np.int64)], axis=1)
+        if rows.shape[1]:
             last = int(np.flatnonzero(rows[0] != rows[0][-1]).max(initial=-1)) + 1
-            held = [r[last:] for r in rows]
+            held = rows[:, last:]
             if last:
-                yield of(*(r[:last] for r in rows))
-    if len(held[0]):
-        yield of(*held)
+                yield of(rows[0, :last], rows[1, :last], rows[2:, :last].view(np.uint64))
+    if held.shape[1]:
+        yield of(held[0], held[1], held[2:].view(np.uint64))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -190,23 +202,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
 
     Reads doc_id and text (null: empty). Texts with equal sets are one node (those without a word, too, which are like
     nothing else). A node's SimHash has as many bits as shape() says; every segment is indexed with each of its bits
-    deleted, and signatures are joined by equality. Within a bucket, rows near a leader in 64 other bits are candidates
-    with it. The nearest NEAREST candidates of each node are compared by their whole sets, which joins large groups in
+    deleted, and signatures are joined by equality. Within a bucket, rows whose checks are near a leader's are
+    candidates with it. The nearest NEAREST candidates of each node are compared by their whole sets, which joins large groups in
     steps linear in their size; then all pairs of a bucket that are near and still in different components are, so no
     candidate is left out. What can be missed is a pair that shares no signature: at `least`, 1 - RECALL.
     """
     ship(docs.sparkSession)
-    made = shape(docs.count(), least)
+    made, checks = shape(docs.count(), least), ", ".join(f"{c} long" for c in CHECKS)
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"))
     own = stage(texts.mapInArrow(lambda batches: _prints(batches, width, made.words), "doc_id long, text_hash long, same long, n long, print array<long>"), "alike-prints")
     nodes = own.groupBy("same").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.any_value("print").alias("print"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "alike-nodes")
-    index = nodes.filter("n > 0").select("node", "print").mapInArrow(lambda batches: _signatures(batches, made), "key long, node long, check long")
+    index = nodes.filter("n > 0").select("node", "print").mapInArrow(lambda batches: _signatures(batches, made), f"key long, node long, {checks}")
     # Shuffled rows come sorted by key, so a bucket's are together.
     index = index.repartition("key").sortWithinPartitions("key")
-    found = stage(index.mapInArrow(lambda batches: _buckets(batches, made.most), "key long, node long, other long, value long"), "alike-buckets")
-    rows = found.filter("key >= 0").select("key", "node", F.col("value").alias("check"))
+    found = stage(index.mapInArrow(lambda batches: _buckets(batches, made.most), f"key long, node long, other long, {checks}"), "alike-buckets")
+    rows = found.filter("key >= 0").drop("other")
     named = rows.select("node").distinct()
     named = nodes.join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "node").select("node", "text_hash")
     few = named.count() <= BROADCAST_ROWS
@@ -220,19 +232,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
         alike = both >= F.lit(least) * (F.size("a_words") + F.size("b_words") - both)
         return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b")
 
-    pairs = found.filter("key < 0").groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.min("value").alias("d"))
+    pairs = found.filter("key < 0").groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.min("check0").alias("d"))
     nearest = Window.partitionBy("b").orderBy("d", "a")
     tried = stage(pairs.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= NEAREST).select("a", "b"), "alike-pairs")
     links = stage(linked(tried), "alike-links")
     of_node = stage(connected_components(links), "alike-components")
-    rooted = rows.join(of_node, "node", "left").select("key", "node", "check", F.coalesce("component", "node").alias("root"))
+    rooted = rows.join(of_node, "node", "left").select("key", "node", *CHECKS, F.coalesce("component", "node").alias("root"))
     sizes = of_node.groupBy(F.col("component").alias("root")).agg(F.count("*").alias("size"))
     rooted = stage(rooted.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1))), "alike-rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("size", "root")).alias("most")).filter("lo < hi").select("key", F.col("most.root").alias("main"))
     open_ = rooted.join(split, "key")
     # Every such pair has a side that isn't in the bucket's largest component.
     a, b = open_.filter("root <> main").alias("a"), open_.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.bit_count(F.col("a.check").bitwiseXOR(F.col("b.check"))) <= made.most)
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in CHECKS) <= made.most)
     left = a.join(b, near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     more = stage(linked(left.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")), "alike-links")
     if more.take(1):

@@ -41,3 +41,38 @@ def test_near_duplicates_are_all_pairs_at_the_similarity(spark):
 def test_rows_without_id_or_repeated(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "q r s t u v"), (None, None), (7, "")], "doc_id long, text string")
     assert sorted((r.doc_id is None, r.text) for r in alike.keep_one(df).collect()) == [(False, ""), (False, "a b c d e"), (True, "q r s t u v")]
+
+
+def test_simhashes_and_sets_are_those_of_plain_loops():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(1)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n)) for n in (0, 1, 4, 5, 6, 300, 2000)] + [None, "\n", "A b c d e", "a B  c d e"]
+    hashes, bounds = alike.shingle_sets(pa.array(texts))
+    own = [sets(t or "") for t in texts]
+    for i, a in enumerate(own):
+        mine = hashes[bounds[i] : bounds[i + 1]]
+        assert len(mine) == len(a) and (np.diff(mine.astype(np.int64)) > 0).all()
+        for j, b in enumerate(own):
+            assert len(np.intersect1d(mine, hashes[bounds[j] : bounds[j + 1]])) == len(a & b)
+    got = alike.simhashes(hashes, bounds, 3)
+    for i in range(len(texts)):
+        mine = hashes[bounds[i] : bounds[i + 1]]
+        for w in range(3):
+            bits = [int(x) for x in alike.mixed(mine * alike.TIMES[w])]
+            assert int(got[i, w]) == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in bits) > len(bits))
+
+
+def test_large_groups_give_few_candidates():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    n, base = 2000, r.integers(0, 1 << 63, 2, np.uint64)
+    checks = base[:, None] ^ (np.uint64(1) << r.integers(0, 64, (2, n), np.uint64))
+    batch = pa.record_batch({"key": np.full(n, 7), "node": np.arange(n), "check0": checks[0].view(np.int64), "check1": checks[1].view(np.int64)})
+    rows = [x for b in alike._buckets([batch.slice(0, 700), batch.slice(700)], 34) for x in b.to_pylist()]
+    assert sum(x["key"] < 0 for x in rows) == n - 1 and sum(x["key"] == 7 for x in rows) == n
+    far = pa.record_batch({"key": np.arange(n) // 3, "node": np.arange(n), "check0": r.integers(0, 1 << 62, n), "check1": r.integers(0, 1 << 62, n)})
+    assert not [x for b in alike._buckets([far], 20) for x in b.to_pylist()]
