@@ -147,6 +147,17 @@ def murmur64_of(key: Column, seed: int = 0) -> Column:
     return _udf(kernel, "long", key)
 
 
+def murmur128_swapped_of(key: Column, seed: int = 0) -> Column:
+    """murmur128_of() with its halves in the other order."""
+    h = murmur128_of(key, seed)
+    return F.struct(h["h2"].alias("h1"), h["h1"].alias("h2"))
+
+
+def murmur32_family(key: Column, base: int, n: int) -> Column:
+    """Array of n hashes, with seeds from base on."""
+    return F.array(*(murmur32_of(key, base + i) for i in range(n)))
+
+
 def native64_of(key: Column, seed: int = 0) -> Column:
     """A seeded 64-bit family without leaving the JVM."""
     return F.xxhash64(F.lit(seed), key)

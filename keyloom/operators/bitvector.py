@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import exclusive_prefix
+
 #: Positions per block of a running sum: a window never spans more than this many rows.
 BLOCK_BITS = 16
 
@@ -53,8 +55,7 @@ def rank9_counts(words: DataFrame) -> DataFrame:
     inside = F.sum("ones").over(Window.partitionBy("block").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     packed = ones.withColumn("before", inside).withColumn("part", F.when(F.col("k") > 0, F.call_function("shiftleft", F.col("before"), 9 * (F.col("k") - 1))).otherwise(F.lit(0)))
     blocks = packed.groupBy("block").agg(F.sum("ones").alias("ones"), F.bit_or("part").alias("inside"))
-    over = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select("block", F.coalesce(F.sum("ones").over(over), F.lit(0)).alias("before"), "inside")
+    return exclusive_prefix(blocks, "block", ["ones"]).select("block", F.col("ones_before").alias("before"), "inside")
 
 
 def rank9_at(words: DataFrame, queries: DataFrame) -> DataFrame:

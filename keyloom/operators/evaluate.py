@@ -16,6 +16,12 @@ def verify(hashed: DataFrame, column: str = "mph") -> DataFrame:
     return own.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("keys"), F.count(column).alias("distinct_values"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("collisions"), F.min(column).cast("long").alias("least"), F.max(column).cast("long").alias("largest"))
 
 
+def placed(hashed: DataFrame, n: int, column: str = "mph") -> DataFrame:
+    """key, in_range (the value is from 0 to n - 1) and alone (no other key has it), for every key."""
+    shared = hashed.groupBy(column).agg(F.count("*").alias("_keys"))
+    return hashed.join(shared, column).select("key", F.col(column).between(0, n - 1).alias("in_range"), (F.col("_keys") == 1).alias("alone"))
+
+
 def parameter_grid(spark: SparkSession, **values: list[float]) -> DataFrame:
     """Every combination of the parameters' values, one column each."""
     return spark.createDataFrame([tuple(map(float, p)) for p in itertools.product(*values.values())], ", ".join(f"{n} double" for n in values))

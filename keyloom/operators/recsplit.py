@@ -130,6 +130,20 @@ def encode(nodes: list[tuple[int, int]], leaf: int, paired: bool = False) -> tup
     return "".join(fixed), "".join(unary)
 
 
+STREAMS = "fixed binary, fixed_bits int, unary binary, unary_bits int"
+
+
+def pack(fixed: str, unary: str) -> dict[str, bytes | int]:
+    """Streams as an artifact keeps them: eight bits a byte, and their numbers."""
+    data = lambda bits: np.packbits(np.frombuffer(bits.encode(), np.uint8) & 1).tobytes()
+    return {"fixed": data(fixed), "fixed_bits": len(fixed), "unary": data(unary), "unary_bits": len(unary)}
+
+
+def unpack(row: dict) -> tuple[str, str]:
+    bits = lambda data, n: (np.unpackbits(np.frombuffer(data, np.uint8), count=n) + ord("0")).tobytes().decode()
+    return bits(row["fixed"], row["fixed_bits"]), bits(row["unary"], row["unary_bits"])
+
+
 class Tree:
     """A bucket's tree read from its streams; a sibling's subtree is skipped by its number of nodes and fixed bits."""
 
@@ -175,16 +189,17 @@ def _hashes(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(keys: DataFrame, plan: Plan, n: int) -> DataFrame:
-    """The artifact for n distinct non-null keys: bucket, size, fixed, unary, size_before (a row a bucket with keys).
+    """The artifact for n distinct non-null keys: bucket, size, both streams and their bits, size_before (a row a bucket
+    with keys).
 
     One shuffle, on the bucket; a bucket's keys (about bucket_size) are the largest thing in a worker."""
 
     def kernel(group: pa.Table) -> dict[str, list]:
         h1, h2 = _hashes(group)
-        fixed, unary = encode(split(h1, h2, plan.leaf), plan.leaf)
-        return {"bucket": [group.column("bucket")[0].as_py()], "size": [len(h1)], "fixed": [fixed], "unary": [unary]}
+        streams = pack(*encode(split(h1, h2, plan.leaf), plan.leaf))
+        return {"bucket": [group.column("bucket")[0].as_py()], "size": [len(h1)], **{n: [v] for n, v in streams.items()}}
 
-    trees = by_group(with_bucket(keys, plan, plan.buckets(n)).select("bucket", "h1", "h2"), "bucket", ["h1", "h2"], kernel, "bucket long, size long, fixed string, unary string")
+    trees = by_group(with_bucket(keys, plan, plan.buckets(n)).select("bucket", "h1", "h2"), "bucket", ["h1", "h2"], kernel, f"bucket long, size long, {STREAMS}")
     return exclusive_prefix(trees, "bucket", ["size"])
 
 
@@ -197,7 +212,7 @@ def lookup(keys: DataFrame, artifact: DataFrame, plan: Plan, n: int) -> DataFram
     def kernel(group: pa.Table, trees: list[dict]) -> dict[str, list]:
         h1, h2 = _hashes(group)
         one = trees[0]
-        got = Tree(one["fixed"], one["unary"], plan.leaf).values(h1, h2, one["size"]) + one["size_before"]
+        got = Tree(*unpack(one), plan.leaf).values(h1, h2, one["size"]) + one["size_before"]
         return {**{c: group.column(c).to_pylist() for c in names}, "mph": got.tolist()}
 
     return by_group_with(with_bucket(keys, plan, plan.buckets(n)), artifact, "bucket", kernel, schema)
@@ -234,7 +249,7 @@ def subtree_table(spark: SparkSession, most: int, leaf: int) -> DataFrame:
 
 def space(artifact: DataFrame) -> DataFrame:
     """Bits by component: both seed streams, and Elias-Fano codes of the prefixes of keys and of the two streams."""
-    sums = artifact.agg(F.count("*").alias("n"), F.sum("size").alias("keys"), F.sum(F.length("fixed")).alias("fixed"), F.sum(F.length("unary")).alias("unary")).collect()[0]
+    sums = artifact.agg(F.count("*").alias("n"), F.sum("size").alias("keys"), F.sum("fixed_bits").alias("fixed"), F.sum("unary_bits").alias("unary")).collect()[0]
 
     def code(n: int, top: int) -> int:
         low = max(0, (-(-top // n) - 1).bit_length()) if n else 0

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codecs import elias_fano_space, low_bits
 from ..functions.hashing import fmix64, mod_range128, murmur128_of
 from .grouped import by_group, by_group_with
 from .prefix import exclusive_prefix
 from .recsplit import MOST, STEP, place
-from .retrieval import build_retrieval, n_shards, retrieve
+from .retrieval import build_retrieval, n_shards, retrieval_space, retrieve
 
 U64 = np.uint64
 KEYS_PER_SHARD = 4096
@@ -154,3 +155,15 @@ def lookup(keys: DataFrame, built: ShockHash) -> DataFrame:
         return {"key": group.column("key").to_pylist(), "mph": (slot + own[0]["size_before"]).tolist()}
 
     return by_group_with(chosen, built.buckets, "bucket", kernel, "key string, mph long")
+
+
+def space(built: ShockHash) -> DataFrame:
+    """Bits by component: seeds (of a bipartite bucket, both) as Elias gamma codes, the one-bit choices' retrieval
+    structure, and the Elias-Fano code of the prefixes of bucket sizes."""
+    gamma = lambda c: 2 * (F.length(F.bin(F.col(c) + 1)) - 1) + 1
+    seeds = gamma("seed") + gamma("second") if built.plan.bipartite else gamma("seed")
+    sums = built.buckets.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("top"), F.coalesce(F.sum(seeds), F.lit(0)).alias("seeds"))
+    parts = sums.withColumn("prefix", elias_fano_space(F.col("n"), F.col("top"), low_bits(F.col("n"), F.col("top"))))
+    parts = parts.select(F.expr("stack(2, 'seeds', seeds, 'prefix', prefix) AS (component, bits)"))
+    choices = retrieval_space(built.choices).agg(F.coalesce(F.sum("bits"), F.lit(0)).cast("long").alias("bits"))
+    return parts.unionByName(choices.select(F.lit("choices").alias("component"), "bits"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import as_bytes, fast_range16, murmur32, murmur32_of
+from ..functions.hashing import as_bytes, fast_range16, fast_range64, murmur32, murmur32_of, murmur128_of
 from ..functions.shipping import ship
 from .grouped import by_group
 from .prefix import exclusive_prefix
@@ -30,8 +30,7 @@ class Plan:
     class_seed: int = 1
 
     def buckets(self, n: int) -> int:
-        """At most 65,536, which is all that the 16-bit reduction reaches; buckets grow beyond that."""
-        return max(1, min(1 << 16, -(-n // self.bucket_size)))
+        return max(1, -(-n // self.bucket_size))
 
 
 def choice_bits(key: Column, plan: Plan) -> Column:
@@ -41,8 +40,12 @@ def choice_bits(key: Column, plan: Plan) -> Column:
 
 
 def with_class(keys: DataFrame, plan: Plan, buckets: int) -> DataFrame:
-    """Adds bits and bucket to a table with a column key."""
-    return keys.withColumn("bits", choice_bits(F.col("key"), plan)).withColumn("bucket", fast_range16(murmur32_of(F.col("key"), plan.bucket_seed), buckets))
+    """Adds bits and bucket to a table with a column key. Up to 65,536 buckets, which is all that the 16-bit reduction
+    reaches, come from a 32-bit hash; more from a 64-bit one."""
+    key = F.col("key")
+    few = buckets <= 1 << 16
+    bucket = fast_range16(murmur32_of(key, plan.bucket_seed), buckets) if few else fast_range64(murmur128_of(key, plan.bucket_seed)["h2"], buckets)
+    return keys.withColumn("bits", choice_bits(key, plan)).withColumn("bucket", bucket.cast("long"))
 
 
 def bucket_table(placed: DataFrame, plan: Plan) -> DataFrame:
@@ -91,6 +94,7 @@ class SicHash:
     choices: dict[int, DataFrame]
     shards: dict[int, int]
     remap: DataFrame
+    placed: DataFrame
 
 
 def build(keys: DataFrame, plan: Plan, n: int, persist=lambda df, name: df.cache()) -> SicHash:
@@ -110,7 +114,7 @@ def build(keys: DataFrame, plan: Plan, n: int, persist=lambda df, name: df.cache
     counts = {r.bits: r.n for r in full.groupBy("bits").agg(F.count("*").alias("n")).collect()}
     shards = {b: n_shards(counts.get(b, 0), KEYS_PER_SHARD) for b in (1, 2, 3)}
     choices = {b: persist(build_retrieval(full.filter(F.col("bits") == b).select("key", F.col("choice").alias("value")), b, shards[b]), f"sichash-choices-{b}") for b in (1, 2, 3)}
-    return SicHash(plan, n, buckets, choices, shards, persist(make_minimal(full.select("slot"), n), "sichash-remap"))
+    return SicHash(plan, n, buckets, choices, shards, persist(make_minimal(full.select("slot"), n), "sichash-remap"), full)
 
 
 def holes(slots: DataFrame, n: int) -> DataFrame:
@@ -145,6 +149,13 @@ def lookup(keys: DataFrame, built: SicHash) -> DataFrame:
     return perfect(keys, built).join(built.remap, "slot", "left").select("key", F.coalesce("hole", "slot").alias("mph"))
 
 
+def by_index(keys: DataFrame, built: SicHash) -> DataFrame:
+    """keys (key) with mph by an index of the placed keys instead of seeds and retrieval structures: what lookup() must
+    give for keys that were built in."""
+    own = keys.select("key").join(built.placed.select("key", "slot"), "key")
+    return own.join(built.remap, "slot", "left").select("key", F.coalesce("hole", "slot").alias("mph"))
+
+
 def space(built: SicHash) -> DataFrame:
     """Bits by component: the choices' retrieval structures, seeds, and Elias-Fano codes of prefixes and holes."""
     parts = None

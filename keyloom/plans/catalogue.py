@@ -9,7 +9,7 @@ from ..functions import codecs, hashing
 from ..operators import bitvector, evaluate, prefix, recsplit, retrieval, shockhash, shockrecsplit, sichash
 from ..sources import keys as key_sources
 from . import oracles as sql
-from .persist import persist
+from .persist import persist, shared_path
 
 RECSPLIT = recsplit.Plan(bucket_size=100, leaf=8)
 SICHASH = sichash.Plan()
@@ -76,6 +76,15 @@ def murmur128_keys(spark: SparkSession, d: str) -> DataFrame:
     return h.select("key", hashing.hex64(F.col("h.h1")).alias("h1"), hashing.hex64(F.col("h.h2")).alias("h2"))
 
 
+def murmur128_swapped(spark: SparkSession, d: str) -> DataFrame:
+    h = urls(spark, d).withColumn("h", hashing.murmur128_swapped_of(F.col("key"), 42))
+    return h.select("key", hashing.hex64(F.col("h.h1")).alias("h1"), hashing.hex64(F.col("h.h2")).alias("h2"))
+
+
+def hash_family(spark: SparkSession, d: str) -> DataFrame:
+    return suppliers(spark, d).select("key", F.posexplode(hashing.murmur32_family(F.col("key"), 5, 4)).alias("i", "h"))
+
+
 def murmur64_keys(spark: SparkSession, d: str) -> DataFrame:
     return customers(spark, d).select("key", hashing.hex64(hashing.murmur64_of(F.col("key"), 42)).alias("m64"))
 
@@ -151,15 +160,14 @@ def fanout_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subtree_table(spark: SparkSession, d: str) -> DataFrame:
-    return recsplit.subtree_table(spark, 8, 8)
+    return recsplit.subtree_table(spark, 400, 8)
 
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "events").filter("user_id < 20")
-    return own.select(F.col("user_id").alias("g"), F.col("event_id").alias("value"))
+    return table(spark, d, "events").select(F.col("user_id").alias("g"), F.col("event_id").alias("value"))
 
 
-SEQUENCES = "SELECT user_id AS g, event_id AS value FROM events WHERE user_id < 20"
+SEQUENCES = "SELECT user_id AS g, event_id AS value FROM events"
 
 
 def ef_encode(spark: SparkSession, d: str) -> DataFrame:
@@ -174,27 +182,17 @@ def ef_space(spark: SparkSession, d: str) -> DataFrame:
     return ef_encode(spark, d).select("g", codecs.elias_fano_space(F.col("n"), F.col("m"), F.col("l")).alias("bits"))
 
 
-def all_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Every user's events; sequences() has what the SQL of its queries covers."""
-    return table(spark, d, "events").select(F.col("user_id").alias("g"), F.col("event_id").alias("value"))
-
-
-def ef_encode_all(spark: SparkSession, d: str) -> DataFrame:
-    return codecs.elias_fano_encode(all_sequences(spark, d), "g", "value", "value")
-
-
-def ef_roundtrip_all(spark: SparkSession, d: str) -> DataFrame:
-    return codecs.elias_fano_decode(ef_encode_all(spark, d), "g")
-
-
-def ef_space_all(spark: SparkSession, d: str) -> DataFrame:
-    return ef_encode_all(spark, d).select("g", codecs.elias_fano_space(F.col("n"), F.col("m"), F.col("l")).alias("bits"))
+def golomb_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Round trips of values up to 2^62: those of orders, moved to the top of a long, with few bits in the unary part."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit((1 << 62) - 1).bitwiseXOR(F.col("o_custkey") * 524_287).alias("value"))
+    coded = o.withColumn("c", codecs.golomb_rice_encode(F.col("value"), F.lit(57)))
+    return coded.select("id", codecs.golomb_rice_decode(F.col("c.fixed"), F.col("c.unary")).alias("value"))
 
 
 def bit_strings(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     back = codecs.bits_to_int(codecs.bits_lsb_first(k))
-    return table(spark, d, "orders").select(k.alias("id"), codecs.bits_lsb_first(k).alias("bits"), back.alias("back"), codecs.highest_bit(k).alias("highest"))
+    return table(spark, d, "orders").select(k.alias("id"), codecs.bits_lsb_first(k).alias("bits"), back.alias("back"), codecs.highest_bit(k).alias("highest"), codecs.log2_approx(k).alias("nearest"))
 
 
 # Bit vectors
@@ -241,9 +239,34 @@ def select_inventory(spark: SparkSession, d: str) -> DataFrame:
     return bitvector.select_inventory(event_bits(spark, d))
 
 
+def select_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every 3rd one, of none, and of one beyond the last."""
+    bits = event_bits(spark, d)
+    return bitvector.select_at(bits, spark.range(0, bits.count() + 3, 3).withColumnRenamed("id", "r"))
+
+
+def rank9_space(spark: SparkSession, d: str) -> DataFrame:
+    words = persist(bitvector.pack_words(event_bits(spark, d)), "words")
+    counts = bitvector.rank9_counts(words).agg(F.count("*").alias("blocks"))
+    return words.agg(F.count("*").alias("words")).crossJoin(F.broadcast(counts)).select("words", "blocks", bitvector.rank9_space(F.col("words"), F.col("blocks")).alias("bits"))
+
+
 # Retrieval
 
 
+def _retrieval_space(keys: DataFrame, bits: int, method: str) -> DataFrame:
+    pairs = persist(keys.select("key", F.pmod(hashing.murmur32_of(F.col("key")), F.lit(1 << bits)).alias("value")), "pairs")
+    return retrieval.retrieval_space(retrieval.build_retrieval(pairs, bits, retrieval.n_shards(pairs.count(), 4096), method))
+
+
+def ribbon_space(spark: SparkSession, d: str) -> DataFrame:
+    return _retrieval_space(customers(spark, d), 1, "ribbon")
+
+
+def burr_space(spark: SparkSession, d: str) -> DataFrame:
+    return _retrieval_space(customers(spark, d), 2, "bumped")
+
+
 def _retrieved(keys: DataFrame, bits: int, method: str) -> DataFrame:
     pairs = persist(keys.select("key", F.pmod(hashing.murmur32_of(F.col("key")), F.lit(1 << bits)).alias("value")), "pairs")
     shards = retrieval.n_shards(pairs.count(), 4096)
@@ -267,12 +290,18 @@ def burr_retrieve_3(spark: SparkSession, d: str) -> DataFrame:
 # Minimal perfect hashing
 
 
+def placed(hashed: DataFrame) -> DataFrame:
+    """evaluate.placed() of a minimal function's values: their number is the number of keys."""
+    hashed = persist(hashed, "hashed")
+    return evaluate.placed(hashed, hashed.count())
+
+
 def recsplit_values(spark: SparkSession, d: str) -> DataFrame:
-    return recsplit_of(customers(spark, d)).select("mph")
+    return placed(recsplit_of(customers(spark, d)))
 
 
 def recsplit_text_values(spark: SparkSession, d: str) -> DataFrame:
-    return recsplit_of(texts(spark, d)).select("mph")
+    return placed(recsplit_of(texts(spark, d)))
 
 
 def recsplit_verify(spark: SparkSession, d: str) -> DataFrame:
@@ -280,9 +309,22 @@ def recsplit_verify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recsplit_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The shape of each bucket's tree: its size, its nodes in preorder without a gap, and the keys in its leaves."""
     n = customers(spark, d).count()
     got = recsplit.nodes(customers(spark, d), RECSPLIT, n)
-    return got.groupBy("bucket").agg(F.min_by("size", "preorder").alias("size"), F.max("size").alias("widest"))
+    leaf_keys = F.sum(F.when(F.col("is_leaf"), F.col("size")).otherwise(0)).alias("leaf_keys")
+    return got.groupBy("bucket").agg(F.min_by("size", "preorder").alias("size"), F.max("size").alias("widest"), F.count("*").alias("nodes"), F.max("preorder").alias("last"), leaf_keys)
+
+
+def recsplit_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the streams hold what the trees' seeds take: r bits fixed, and the rest of the seed and one unary."""
+    n = customers(spark, d).count()
+    nodes = recsplit.nodes(customers(spark, d), RECSPLIT, n)
+    r = recsplit.subtree_table(spark, 2 * RECSPLIT.bucket_size + 200, RECSPLIT.leaf).select("size", "param")
+    quotient = F.call_function("shiftright", F.col("seed"), F.col("param")) + 1
+    want = nodes.join(F.broadcast(r), "size").agg(F.sum("param").alias("fixed"), F.sum(quotient).alias("unary"))
+    want = want.select(F.expr("stack(2, 'fixed', fixed, 'unary', unary) AS (component, wanted)"))
+    return space_recsplit(spark, d).join(want, "component").select("component", (F.col("bits") == F.col("wanted")).alias("agrees"))
 
 
 def built_sichash(keys: DataFrame) -> tuple[DataFrame, sichash.SicHash]:
@@ -298,7 +340,14 @@ def sichash_perfect_verify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sichash_minimal_values(spark: SparkSession, d: str) -> DataFrame:
-    return sichash.lookup(*built_sichash(customers(spark, d))).select("mph")
+    return placed(sichash.lookup(*built_sichash(customers(spark, d))))
+
+
+def sichash_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """Whether seeds and retrieval structures give each key the slot that it was placed in."""
+    keys, built = built_sichash(customers(spark, d))
+    named = sichash.by_index(keys, built).withColumnRenamed("mph", "named")
+    return sichash.lookup(keys, built).join(named, "key").select("key", (F.col("mph") == F.col("named")).alias("agrees"))
 
 
 def sichash_holes(spark: SparkSession, d: str) -> DataFrame:
@@ -310,7 +359,7 @@ def sichash_holes(spark: SparkSession, d: str) -> DataFrame:
 
 def shockhash_values(spark: SparkSession, d: str, plan: shockhash.Plan = SHOCKHASH) -> DataFrame:
     keys = persist(customers(spark, d), "keys")
-    return shockhash.lookup(keys, shockhash.build(keys, plan, keys.count(), persist)).select("mph")
+    return placed(shockhash.lookup(keys, shockhash.build(keys, plan, keys.count(), persist)))
 
 
 def bipartite_values(spark: SparkSession, d: str) -> DataFrame:
@@ -319,7 +368,7 @@ def bipartite_values(spark: SparkSession, d: str) -> DataFrame:
 
 def shockrecsplit_values(spark: SparkSession, d: str) -> DataFrame:
     keys = persist(customers(spark, d), "keys")
-    return shockrecsplit.lookup(keys, shockrecsplit.build(keys, SHOCK_RECSPLIT, keys.count(), persist)).select("mph")
+    return placed(shockrecsplit.lookup(keys, shockrecsplit.build(keys, SHOCK_RECSPLIT, keys.count(), persist)))
 
 
 def grid_run(spark: SparkSession, d: str) -> DataFrame:
@@ -336,6 +385,19 @@ def grid_run(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.average_reports(spark.createDataFrame(runs, ["bucket_size", "leaf", *names[0], *names[1]]), ["bucket_size", "leaf"], *names)
 
 
+def grid_run_sichash(spark: SparkSession, d: str) -> DataFrame:
+    """SicHash at the grid's shares of classes, in buckets of 500: times, rates and space."""
+    keys, runs = persist(suppliers(spark, d), "keys"), []
+    n, grid = keys.count(), GRIDS["sichash"]
+    for point in evaluate.parameter_grid(spark, bucket_size=grid["bucket_size"][:1], p1=grid["p1"], p2=grid["p2"], alpha=grid["alpha"]).collect():
+        plan, made = sichash.Plan(int(point.bucket_size), point.p1, point.p2, point.alpha), {}
+        took = evaluate.timed(lambda: made.setdefault("a", sichash.build(keys, plan, n, persist)), lambda a: sichash.lookup(keys, a), n)
+        total = evaluate.space_report(sichash.space(made["a"]), n).first()
+        runs.append((plan.bucket_size, plan.p1, plan.p2, int(took["build_ms"]), int(took["lookup_ms"]), total.total_bits, took["build_keys_s"], took["lookup_keys_s"], total.bits_per_key))
+    names = ["build_ms", "lookup_ms", "total_bits"], ["build_keys_s", "lookup_keys_s", "bits_per_key"]
+    return evaluate.average_reports(spark.createDataFrame(runs, ["bucket_size", "p1", "p2", *names[0], *names[1]]), ["bucket_size", "p1", "p2"], *names)
+
+
 def dictionary_encode_join(spark: SparkSession, d: str) -> DataFrame:
     """Events per user, counted by dense id and mapped back."""
     events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "value")
@@ -357,6 +419,14 @@ def space_sichash(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.space_report(sichash.space(built), built.n)
 
 
+def space_shockhash(spark: SparkSession, d: str) -> DataFrame:
+    keys = persist(customers(spark, d), "keys")
+    n = keys.count()
+    made = {"plain": shockhash.space(shockhash.build(keys, SHOCKHASH, n, persist)), "bipartite": shockhash.space(shockhash.build(keys, BIPARTITE, n, persist)), "trees": shockrecsplit.space(shockrecsplit.build(keys, SHOCK_RECSPLIT, n, persist))}
+    parts = [evaluate.space_report(space, n).withColumn("form", F.lit(form)) for form, space in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 GRIDS = {"recsplit": {"n_keys": [1e6], "bucket_size": [500, 1000, 2000], "leaf_size": [8, 16, 24]}, "sichash": {"n_keys": [1e5], "bucket_size": [500, 1000, 2000], "p1": [0.33, 0.5], "p2": [0.33, 0.5], "alpha": [0.95]}}
 
 
@@ -373,9 +443,23 @@ def grid_average(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.average_reports(runs, ["l_returnflag", "l_linestatus"], ["build_ms"], ["keys_s"])
 
 
+def written_report(spark: SparkSession, d: str) -> DataFrame:
+    """Report rows as they come back from the file that they are written to."""
+    path = shared_path(spark, "report")
+    key_sources.write_report(grid_average(spark, d).select("l_returnflag", "l_linestatus", "build_ms"), path)
+    return spark.read.option("header", True).schema("l_returnflag string, l_linestatus string, build_ms long").csv(path)
+
+
 # Key sets
 
 
+def read_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct lines of a folder of text files, which the query writes first, a line a part."""
+    path = shared_path(spark, "lines")
+    table(spark, d, "part").select("p_name").filter("p_name is not null").write.text(path)
+    return key_sources.read_lines(spark, path)
+
+
 def distinct_parts(spark: SparkSession, d: str) -> DataFrame:
     return key_sources.distinct_keys(table(spark, d, "part"), "p_name")
 
@@ -393,12 +477,12 @@ def random_keys_profile(spark: SparkSession, d: str) -> DataFrame:
     return keys.agg(F.count("*").alias("keys"), F.countDistinct("key").alias("distinct_keys"), F.min(F.length("key")).alias("shortest"), F.max(F.length("key")).alias("longest"))
 
 
-NAMES = """murmur32_keys murmur32_seeds murmur128_keys murmur64_keys ranges bucket_sizes table_prefix class_assign class_counts
+NAMES = """murmur32_keys murmur32_seeds murmur128_keys murmur128_swapped hash_family murmur64_keys ranges bucket_sizes table_prefix class_assign class_counts
 golomb_encode golomb_decode golomb_bits golomb_params_bijection golomb_params_split fanout_table subtree_table ef_encode
-ef_roundtrip ef_space ef_encode_all ef_roundtrip_all ef_space_all bit_strings bit_pack bit_unpack popcount_words rank_bits select_ones rank9_counts rank9_lookup
-select_inventory ribbon_retrieve burr_retrieve burr_retrieve_3 recsplit_values recsplit_text_values recsplit_verify
-recsplit_nodes sichash_perfect_verify sichash_minimal_values sichash_holes shockhash_values bipartite_values
-shockrecsplit_values dictionary_encode_join space_recsplit space_sichash param_grid param_grid_recsplit grid_run grid_average distinct_parts dedupe_lines
+ef_roundtrip ef_space golomb_wide bit_strings bit_pack bit_unpack popcount_words rank_bits select_ones rank9_counts rank9_lookup
+select_inventory select_positions rank9_space ribbon_retrieve burr_retrieve burr_retrieve_3 ribbon_space burr_space recsplit_values recsplit_text_values recsplit_verify
+recsplit_nodes recsplit_streams sichash_perfect_verify sichash_minimal_values sichash_holes sichash_by_index shockhash_values bipartite_values
+shockrecsplit_values dictionary_encode_join space_recsplit space_sichash space_shockhash param_grid param_grid_recsplit grid_run grid_run_sichash grid_average written_report read_lines distinct_parts dedupe_lines
 sample_keys random_keys_profile""".split()
 
 
@@ -421,13 +505,18 @@ def oracle_sql() -> dict[str, str]:
     low = "CASE WHEN ceil(m / n) <= 1 THEN 0 ELSE length(bin((ceil(m / n) - 1)::BIGINT)) END::INTEGER"
     coded = f"q AS ({QUANTITIES}), c AS (SELECT id, r, CASE WHEN r > 0 THEN lpad(bin(value % (1 << r)), r, '0') ELSE '' END AS fixed, repeat('0', (value >> r)::INTEGER) || '1' AS unary FROM q)"
     ef = f"s AS ({SEQUENCES}), a AS (SELECT g, count(*) AS n, max(value) AS m FROM s GROUP BY g), l AS (SELECT *, {low} AS l FROM a), e AS (SELECT g, value, n, m, l, value >> l AS high, value & ((1 << l) - 1) AS low, row_number() OVER (PARTITION BY g ORDER BY value) - 1 AS i FROM s JOIN l USING (g)), d AS (SELECT *, high - coalesce(lag(high) OVER (PARTITION BY g ORDER BY value), 0) AS gap FROM e)"
-    dense = lambda keys: f"SELECT range AS mph FROM range((SELECT count(*) FROM ({keys})))"
+    dense = lambda keys: f"SELECT key, true AS in_range, true AS alone FROM ({keys})"
+    grown = f"t AS (SELECT root, size, row_number() OVER () AS id FROM trees WHERE size >= 2), g AS (SELECT root, size::INTEGER AS size, {RECSPLIT.leaf} AS leaf FROM t)"
+    shape = f"trees(root, size) AS (SELECT s, s FROM roots UNION ALL SELECT root, unnest({sql.fanout_parts('size', str(RECSPLIT.leaf))}) FROM trees WHERE size > {RECSPLIT.leaf}), {grown}"
+    best = f"CASE WHEN size > leaf THEN {sql.golomb_parameter('1 / sqrt(pow(2 * pi(), len(parts) - 1) * list_reduce(list_transform(parts, lambda x: x::DOUBLE), lambda x, y: x * y) / size)')} ELSE {sql.golomb_parameter('sqrt(2 * pi() * size) / exp(size)')} END"
     verify = lambda keys: f"SELECT count(*) AS keys, count(*) AS distinct_values, 0::BIGINT AS collisions, 0::BIGINT AS least, count(*) - 1 AS largest FROM ({keys})"
     every = f"e AS (SELECT greatest(ceil(8 * sum(bit) / count(*)), 1)::BIGINT AS every FROM b)"
     return {
         "murmur32_keys": f"SELECT key, {m32('key')} AS m32 FROM ({URLS} UNION ALL {CUSTOMERS})",
         "murmur32_seeds": f"SELECT key, {', '.join(f'{m32("key", str(s))} AS m32_{s}' for s in (1, 7, 42))} FROM ({SUPPLIERS})",
         "murmur128_keys": f"WITH {sql.murmur128_steps(URLS, 42, 4)} SELECT key, {hex64('h1')} AS h1, {hex64('h2')} AS h2 FROM m",
+        "murmur128_swapped": f"WITH {sql.murmur128_steps(URLS, 42, 4)} SELECT key, {hex64('h2')} AS h1, {hex64('h1')} AS h2 FROM m",
+        "hash_family": " UNION ALL ".join(f"SELECT key, {i}::INTEGER AS i, {m32('key', str(5 + i))} AS h FROM ({SUPPLIERS})" for i in range(4)),
         "murmur64_keys": f"WITH {wide}, z1 AS (SELECT key, h1, h2, (xor(h1, h1 // 8589934592::UHUGEINT) * {0xFF51AFD7ED558CCD}::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM m), z2 AS (SELECT key, h1, h2, (xor(x, x // 8589934592::UHUGEINT) * {0xC4CEB9FE1A85EC53}::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM z1) SELECT key, {hex64("((h2 * (xor(x, x // 8589934592::UHUGEINT) % 4 + 1)::UHUGEINT) % 18446744073709551616::UHUGEINT + h1) % 18446744073709551616::UHUGEINT")} AS m64 FROM z2",
         "ranges": f"WITH {wide} SELECT key, (({m32('key')} >> 16) * 31) >> 16 AS fast16, {m32('key')} % 97 AS mod97, ((h2 * 1000::UHUGEINT) // 18446744073709551616::UHUGEINT)::BIGINT AS fast64, (h1 % 101::UHUGEINT)::BIGINT AS mod101, (((h2 % 103::UHUGEINT) * (18446744073709551616::UHUGEINT % 103::UHUGEINT) + h1 % 103::UHUGEINT) % 103::UHUGEINT)::BIGINT AS wide103 FROM m",
         "bucket_sizes": f"WITH {wide}, c AS (SELECT ((h2 * 16::UHUGEINT) // 18446744073709551616::UHUGEINT)::BIGINT AS bucket, count(*) AS size FROM m GROUP BY 1) SELECT bucket, size, coalesce(sum(size) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS size_before FROM c",
@@ -440,11 +529,12 @@ def oracle_sql() -> dict[str, str]:
         "golomb_params_bijection": f"SELECT m::INTEGER AS m, {sql.golomb_parameter('sqrt(2 * pi() * m) / exp(m)')} AS param FROM range(1, 25) t(m)",
         "golomb_params_split": f"WITH {sized} SELECT size, leaf, {sql.golomb_parameter('1 / sqrt(pow(2 * pi(), len(parts) - 1) * list_reduce(list_transform(parts, lambda x: x::DOUBLE), lambda x, y: x * y) / size)')} AS param FROM p WHERE size > leaf",
         "fanout_table": f"WITH {sized} SELECT size, leaf, array_to_string(parts, ',') AS parts FROM p",
-        "subtree_table": f"WITH t AS (SELECT m::INTEGER AS size, CASE WHEN m < 2 THEN 0 ELSE {sql.golomb_parameter('sqrt(2 * pi() * m) / exp(m)')} END AS param FROM range(1, 9) t(m)) SELECT size, param, (size >= 2)::INTEGER AS nodes, param AS fixed_bits FROM t",
+        "subtree_table": f"WITH RECURSIVE roots AS (SELECT range::INTEGER AS s FROM range(1, 401)), {shape}, p AS (SELECT *, {sql.fanout_parts()} AS parts FROM g), b AS (SELECT root, size, {best} AS param FROM p), a AS (SELECT root, count(*) AS nodes, sum(param) AS bits FROM b GROUP BY root), o AS (SELECT DISTINCT size, param FROM b WHERE size = root) SELECT s AS size, coalesce(param, 0)::INTEGER AS param, coalesce(nodes, 0)::INTEGER AS nodes, coalesce(bits, 0)::INTEGER AS fixed_bits FROM roots LEFT JOIN a ON a.root = s LEFT JOIN o ON o.size = s",
         "ef_encode": f"WITH {ef} SELECT g, string_agg(repeat('0', gap::INTEGER) || '1', '' ORDER BY value) AS upper, string_agg(CASE WHEN l > 0 THEN lpad(bin(low), l, '0') ELSE '' END, '' ORDER BY value) AS lower, any_value(m) AS m, any_value(n) AS n, any_value(l) AS l FROM d GROUP BY g",
         "ef_roundtrip": f"SELECT g, (row_number() OVER (PARTITION BY g ORDER BY value) - 1)::INTEGER AS i, value FROM ({SEQUENCES})",
         "ef_space": f"WITH {ef} SELECT g, n * l + n + (m >> l) AS bits FROM l",
-        "bit_strings": "SELECT o_orderkey AS id, reverse(bin(o_orderkey)) AS bits, o_orderkey AS back, (CASE WHEN o_orderkey > 0 THEN length(bin(o_orderkey)) - 1 ELSE -1 END)::INTEGER AS highest FROM orders",
+        "bit_strings": "SELECT o_orderkey AS id, reverse(bin(o_orderkey)) AS bits, o_orderkey AS back, (CASE WHEN o_orderkey > 0 THEN length(bin(o_orderkey)) - 1 ELSE -1 END)::INTEGER AS highest, (CASE WHEN o_orderkey > 0 THEN floor(log2(1.5 * o_orderkey)) ELSE -1 END)::INTEGER AS nearest FROM orders",
+        "golomb_wide": f"SELECT o_orderkey AS id, xor({(1 << 62) - 1}::BIGINT, o_custkey * 524287) AS value FROM orders",
         "bit_pack": f"WITH {WORDS} SELECT word_no, {hex64('word')} AS word FROM w",
         "bit_unpack": f"WITH b AS ({EVENT_BITS}), t AS (SELECT range AS pos FROM range((SELECT (max(pos) // 64 + 1) * 64 FROM b))) SELECT coalesce(bit, 0)::INTEGER AS bit, count(*) AS n, sum(t.pos)::BIGINT AS positions FROM t LEFT JOIN b USING (pos) GROUP BY 1",
         "popcount_words": f"SELECT pos // 64 AS word_no, sum(bit)::INTEGER AS ones FROM ({EVENT_BITS}) GROUP BY 1",
@@ -453,15 +543,19 @@ def oracle_sql() -> dict[str, str]:
         "rank9_counts": f"WITH b AS ({EVENT_BITS}), o AS (SELECT pos // 512 AS block, (pos // 64) % 8 AS k, sum(bit)::BIGINT AS ones FROM b GROUP BY 1, 2), i AS (SELECT *, coalesce(sum(ones) OVER (PARTITION BY block ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pre FROM o), s AS (SELECT block, sum(ones)::BIGINT AS total, sum(CASE WHEN k > 0 THEN pre << (9 * (k - 1)) ELSE 0 END)::BIGINT AS inside FROM i GROUP BY block) SELECT block, coalesce(sum(total) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, {hex64('inside')} AS inside FROM s",
         "rank9_lookup": f"SELECT pos, (sum(bit) OVER (ORDER BY pos) - bit)::BIGINT AS rank FROM ({EVENT_BITS})",
         "select_inventory": f"WITH b AS ({EVENT_BITS}), {every}, r AS (SELECT pos, (sum(bit) OVER (ORDER BY pos))::BIGINT AS ranked FROM b), s AS (SELECT pos, ranked, pos // (every * 16) AS part, pos % (every * 16) = 0 AS head FROM r, e WHERE pos % every = 0) SELECT s.pos, h.ranked AS primary_rank, s.ranked - h.ranked AS secondary_rank FROM s JOIN s h ON h.part = s.part AND h.head",
+        "select_positions": f"WITH o AS (SELECT row_number() OVER (ORDER BY pos) AS r, pos FROM ({EVENT_BITS}) WHERE bit = 1), q AS (SELECT range AS r FROM range(0, (SELECT count(*) FROM events) + 3, 3)) SELECT q.r, CASE WHEN q.r = 0 THEN 0 ELSE o.pos END AS pos FROM q LEFT JOIN o ON o.r = q.r",
+        "rank9_space": f"WITH b AS ({EVENT_BITS}), c AS (SELECT count(DISTINCT pos // 64) AS words, count(DISTINCT pos // 512) AS blocks FROM b) SELECT words, blocks, 64 * (words + 2 * blocks) AS bits FROM c",
         "ribbon_retrieve": f"SELECT key, ({m32('key')} % 2)::INTEGER AS value FROM ({CUSTOMERS})",
         "burr_retrieve": f"SELECT key, ({m32('key')} % 4)::INTEGER AS value FROM ({CUSTOMERS})",
         "burr_retrieve_3": f"SELECT key, ({m32('key')} % 8)::INTEGER AS value FROM ({URLS})",
         "recsplit_values": dense(CUSTOMERS),
-        "recsplit_text_values": dense("SELECT DISTINCT text FROM documents WHERE text IS NOT NULL"),
+        "recsplit_text_values": dense("SELECT DISTINCT text AS key FROM documents WHERE text IS NOT NULL"),
         "recsplit_verify": verify("SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey IS NOT NULL"),
-        "recsplit_nodes": f"WITH {wide}, n AS (SELECT greatest(1, (count(*) + 99) // 100) AS buckets FROM m), c AS (SELECT ((h2 * buckets::UHUGEINT) // 18446744073709551616::UHUGEINT)::BIGINT AS bucket, count(*) AS size FROM m, n GROUP BY buckets, 1) SELECT bucket, size::INTEGER AS size, size::INTEGER AS widest FROM c WHERE size > 1",
+        "recsplit_nodes": f"WITH RECURSIVE {wide}, n AS (SELECT greatest(1, (count(*) + 99) // 100) AS buckets FROM m), c AS (SELECT ((h2 * buckets::UHUGEINT) // 18446744073709551616::UHUGEINT)::BIGINT AS bucket, count(*)::INTEGER AS size FROM m, n GROUP BY buckets, 1), roots AS (SELECT DISTINCT size AS s FROM c), {shape}, a AS (SELECT root, count(*) AS nodes, sum(CASE WHEN size <= {RECSPLIT.leaf} THEN size ELSE 0 END)::BIGINT AS leaf_keys FROM g GROUP BY root) SELECT bucket, size, size AS widest, nodes, (nodes - 1)::INTEGER AS last, leaf_keys FROM c JOIN a ON a.root = size",
+        "recsplit_streams": "SELECT unnest(['fixed', 'unary']) AS component, true AS agrees",
         "sichash_perfect_verify": f"SELECT count(*) AS keys, count(*) AS distinct_values, 0::BIGINT AS collisions, true AS in_range FROM ({CUSTOMERS})",
         "sichash_minimal_values": dense(CUSTOMERS),
+        "sichash_by_index": f"SELECT key, true AS agrees FROM ({CUSTOMERS})",
         "sichash_holes": "SELECT 0::BIGINT AS holes_without_key",
         "shockhash_values": dense(CUSTOMERS),
         "bipartite_values": dense(CUSTOMERS),
@@ -470,6 +564,8 @@ def oracle_sql() -> dict[str, str]:
         "param_grid": _grid(**GRIDS["sichash"]),
         "param_grid_recsplit": _grid(**GRIDS["recsplit"]),
         "grid_average": "SELECT l_returnflag, l_linestatus, floor(avg(l_quantity::BIGINT))::BIGINT AS build_ms, avg(l_linenumber::DOUBLE) AS keys_s FROM lineitem GROUP BY ALL",
+        "written_report": "SELECT l_returnflag, l_linestatus, floor(avg(l_quantity::BIGINT))::BIGINT AS build_ms FROM lineitem GROUP BY ALL",
+        "read_lines": "SELECT DISTINCT p_name AS key FROM part WHERE p_name IS NOT NULL",
         "distinct_parts": "SELECT DISTINCT p_name AS key FROM part WHERE p_name IS NOT NULL",
         "dedupe_lines": "SELECT DISTINCT trim(line) AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)",
         "sample_keys": "SELECT p_partkey::VARCHAR AS key FROM part WHERE p_size > 10 ORDER BY md5('42:' || p_partkey::VARCHAR), key LIMIT 50",

@@ -5,15 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder in spark.checkpoint.dir (a temporary one only where that is unset and the session
-    is local) and read it back, so that lost executors cost nothing."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder in spark.checkpoint.dir (a temporary one only where that is unset and the session
+    is local), deleted when the driver's JVM ends."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder:
@@ -25,5 +24,11 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def persist(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back, so that its lineage ends and lost executors cost nothing."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
