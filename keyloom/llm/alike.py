@@ -140,41 +140,47 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Of each bucket (rows with one key, which come together) that has two rows whose checks differ in at most `most`
-    bits: candidates, as rows with key -1, node (the leader), other and check0 (the distance); and all its rows. A leader is the first row that is near no leader before, so each row is a candidate with one
-    leader at most, however large the bucket."""
+    """Of each bucket (rows with one key, which come together): its rows whose checks differ from another's in at most
+    `most` bits; and candidates, as rows with key -1, node (the leader), other and check0 (the distance). A leader is
+    the first row that is near no leader before, so each row is a candidate with one leader at most, however large the
+    bucket."""
     kinds = pa.schema([(n, pa.int64()) for n in ("key", "node", "other", *CHECKS)])
 
-    def near_pairs(key: np.ndarray, check: np.ndarray, longest: int) -> np.ndarray:
-        """Whether a row of a small bucket is near one of the rows after it."""
+    def near_in_small(key: np.ndarray, check: np.ndarray, longest: int) -> np.ndarray:
+        """Whether a row is near another of its bucket, for buckets of at most `longest` rows."""
         out = np.zeros(len(key), bool)
         for step in range(1, longest):
-            out[:-step] |= (key[step:] == key[:-step]) & (_apart(check[:, step:], check[:, :-step]) <= most)
+            hit = (key[step:] == key[:-step]) & (_apart(check[:, step:], check[:, :-step]) <= most)
+            out[:-step] |= hit
+            out[step:] |= hit
         return out
 
     def of(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([starts, [len(key)]]))
-        small = size <= SMALL
-        open_ = size > SMALL
-        if (size[small] > 1).any():
-            open_ |= small & np.logical_or.reduceat(near_pairs(key, check, int(size[small].max())), starts)
+        large = np.repeat(size > SMALL, size)
+        live = large.copy()
+        if not large.all():
+            live[~large] = near_in_small(key[~large], check[:, ~large], int(size[size <= SMALL].max()))
+        key, node, check, large = key[live], node[live], check[:, live], large[live]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * (3 + CHECK)]
-        for lo, n in zip(starts[open_].tolist(), size[open_].tolist()):
-            own = np.arange(lo, lo + n)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+            own = np.arange(lo, hi)
             own = own[np.argsort(node[own], kind="stable")]
-            left, found = own, False
-            while len(left) > 1:
+            left, alone = own, []
+            while len(left):
                 leader, left = left[0], left[1:]
                 distance = _apart(check[:, left], check[:, leader, None])
                 near = distance <= most
-                if near.any():
-                    found = True
-                    k = int(near.sum())
+                k = int(near.sum())
+                if k:
                     out.append([np.full(k, -1), np.full(k, node[leader]), node[left[near]], distance[near], *[np.zeros(k, np.int64)] * (CHECK - 1)])
                     left = left[~near]
-            if found:
-                out.append([key[own], node[own], np.full(n, -1), *check[:, own].view(np.int64)])
+                elif large[lo] and (_apart(check[:, own], check[:, leader, None]) <= most).sum() < 2:
+                    alone.append(leader)
+            own = np.setdiff1d(own, alone) if alone else own
+            out.append([key[own], node[own], np.full(len(own), -1), *check[:, own].view(np.int64)])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=kinds)
 
     held = np.empty((2 + CHECK, 0), np.int64)

@@ -76,3 +76,23 @@ def test_large_groups_give_few_candidates():
     assert sum(x["key"] < 0 for x in rows) == n - 1 and sum(x["key"] == 7 for x in rows) == n
     far = pa.record_batch({"key": np.arange(n) // 3, "node": np.arange(n), "check0": r.integers(0, 1 << 62, n), "check1": r.integers(0, 1 << 62, n)})
     assert not [x for b in alike._buckets([far], 20) for x in b.to_pylist()]
+
+
+def test_rows_of_buckets_are_those_near_another():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    centres = r.integers(0, 1 << 63, (2, 6), np.uint64)
+    for n in (3, 60, 150):
+        pick = r.integers(0, 9, n)
+        flips = np.array([[np.bitwise_xor.reduce(np.uint64(1) << r.integers(0, 64, r.integers(0, 12), np.uint64)) for _ in range(n)] for _ in range(2)], np.uint64)
+        checks = np.where(pick < 6, centres[:, np.minimum(pick, 5)] ^ flips, r.integers(0, 1 << 63, (2, n), np.uint64))
+        batch = pa.record_batch({"key": np.full(n, 1), "node": r.permutation(n), "check0": checks[0].view(np.int64), "check1": checks[1].view(np.int64)})
+        rows = [x for b in alike._buckets([batch], 20) for x in b.to_pylist()]
+        node, apart = batch.column("node").to_numpy(), np.bitwise_count(checks[:, :, None] ^ checks[:, None, :]).sum(0)
+        want = {int(node[i]) for i in range(n) if (apart[i] <= 20).sum() > 1}
+        assert {x["node"] for x in rows if x["key"] == 1} == want
+        at = {int(v): i for i, v in enumerate(node)}
+        pairs = [(x["node"], x["other"], x["check0"]) for x in rows if x["key"] < 0]
+        assert all(apart[at[a], at[b]] == d <= 20 for a, b, d in pairs) and len({b for _, b, _ in pairs}) == len(pairs) <= n
