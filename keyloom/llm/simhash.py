@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,10 @@ BITS = 64
 SHINGLE = 4
 MAX_DISTANCE = 4
 SEED = 42
+#: Fingerprints up to which the index has few, short segments.
+FEW = 1 << 22
+#: Tables of at most this many rows (16 bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
 #: Shingles whose bits are counted at a time: bounds the memory that a very long text takes.
 BLOCK = 1 << 16
 
@@ -51,16 +56,25 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return own.mapInArrow(lambda batches: _fingerprints(batches, width), "doc_id long, text_hash long, fingerprint long")
 
 
-def segments(max_distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits): so few that of max_distance differing bits one segment must hold one at most."""
-    n = max_distance // 2 + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:])]
+def segments(max_distance: int, n: int = 0) -> list[int]:
+    """Masks of bits, of which one holds one bit at most of any max_distance differing ones, for n fingerprints.
+
+    Few fingerprints: max_distance / 2 + 1 segments, so few that one has at most one of the bits. More than FEW: every
+    two of max_distance + 1 segments together, as the two that differ least have less than two of the bits; these are
+    longer, so less chance meets in a key, and there are more of them.
+    """
+    parts = max_distance // 2 + 1 if n <= FEW else max_distance + 1
+    cuts = [BITS * i // parts for i in range(parts + 1)]
+    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:])]
+    return masks if n <= FEW or parts < 2 else [a | b for a, b in itertools.combinations(masks, 2)]
+
+
+def _long(x: int) -> Column:
+    return F.lit(x - (1 << 64) if x >> 63 else x)
 
 
-def _mask(first: int, bits: int) -> Column:
-    value = ((1 << bits) - 1) << first
-    return F.lit(value - (1 << 64) if value >> 63 else value)
+def _bits(mask: int) -> list[int]:
+    return [i for i in range(BITS) if mask >> i & 1]
 
 
 def _bit(x: Column) -> Column:
@@ -68,34 +82,33 @@ def _bit(x: Column) -> Column:
     return F.when(x < 0, F.lit(63)).otherwise(F.bit_count(x - 1))
 
 
-def _variants(x: Column, parts: list[tuple[int, int]]) -> Column:
-    """Signatures of every segment with one bit deleted: (position of the bit, the segment without it)."""
-    made = []
-    for first, bits in parts:
-        segment = x.bitwiseAND(_mask(first, bits))
-        made += [F.struct(F.lit(i).alias("wild"), segment.bitwiseAND(F.lit(~(1 << i) if i < 63 else (1 << 63) - 1)).alias("rest")) for i in range(first, first + bits)]
+def _variants(x: Column, masks: list[int]) -> Column:
+    """Signatures of every part with one bit deleted: (number of the part and position of the bit, the part without it)."""
+    made = [F.struct(F.lit(p * BITS + i).alias("wild"), x.bitwiseAND(_long(mask & ~(1 << i))).alias("rest")) for p, mask in enumerate(masks) for i in _bits(mask)]
     return F.array(*made)
 
 
-def _only_signature(x: Column, parts: list[tuple[int, int]]) -> Column:
-    """Of the signatures that two fingerprints with difference x share, the deleted bit of the one that reports them:
-    the first segment with a difference of one bit at most; that bit, or the segment's first if there is none."""
+def _only_signature(x: Column, masks: list[int]) -> Column:
+    """Of the signatures that two fingerprints with difference x share, the one that reports them: of the first part
+    with a difference of one bit at most, the one without that bit, or without the part's first if there is none."""
     out = None
-    for first, bits in parts:
-        part = x.bitwiseAND(_mask(first, bits))
-        for n, wild in ((0, F.lit(first)), (1, _bit(part))):
+    for p, mask in enumerate(masks):
+        part = x.bitwiseAND(_long(mask))
+        for n, wild in ((0, F.lit(p * BITS + _bits(mask)[0])), (1, _bit(part) + p * BITS)):
             holds = F.bit_count(part) == n
             out = F.when(holds, wild) if out is None else out.when(holds, wild)
     return out
 
 
-def link_fingerprints(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """All pairs a < b of distinct fingerprints that differ in at most max_distance bits, each once.
+def link_fingerprints(prints: DataFrame, max_distance: int = MAX_DISTANCE, n: int = 0) -> DataFrame:
+    """All pairs a < b of distinct fingerprints that differ in at most max_distance bits, each once; n is about how many
+    there are, which changes the index alone.
 
-    Every fingerprint is indexed under its BITS one-wildcard signatures and signatures are joined by equality. The
-    join's own condition verifies the distance and lets one shared signature report a pair, so the join emits links only.
+    Every fingerprint is indexed under its one-wildcard signatures, one a bit of each of segments(), and signatures are
+    joined by equality. The join's own condition verifies the distance and lets one shared signature report a pair, so
+    the join emits links only.
     """
-    parts = segments(max_distance)
+    parts = segments(max_distance, n)
     index = prints.select("fingerprint", F.explode(_variants(F.col("fingerprint"), parts)).alias("s")).select("fingerprint", "s.wild", "s.rest")
     a, b = index.alias("a"), index.alias("b")
     x = F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))
@@ -113,10 +126,12 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, width: in
     """
     own = stage(fingerprints(docs, width), "fingerprints")
     nodes = stage(own.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    parts = connected_components(link_fingerprints(nodes.select("fingerprint"), max_distance))
-    named = nodes.join(parts, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fingerprint"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = stage(named.join(roots, "root").select("fingerprint", "component_id"), "fingerprint-components")
+    parts = connected_components(link_fingerprints(nodes.select("fingerprint"), max_distance, nodes.count()))
+    # Only linked nodes are joined by component, so a large one's rows are few beside all.
+    linked = stage(nodes.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint"), "fingerprint-linked")
+    least = stage(linked.groupBy("component").agg(F.min("least").alias("component_id")), "fingerprint-roots")
+    moved = linked.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "component").select("fingerprint", "component_id")
+    of_node = stage(nodes.join(moved, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id")), "fingerprint-components")
     return own.join(of_node, "fingerprint").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
