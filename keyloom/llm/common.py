@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.persist import persist
+
 #: A word is a maximal run of characters outside this class (ASCII white space only).
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -16,41 +16,13 @@ WORD = rf"[^{SPACE}]+"
 #: Most range buckets in one plan. Per-bucket tables (16 to 40 bytes a row) are therefore under 3 MB and safe to broadcast.
 MAX_BUCKETS = 65_536
 
-_fallback: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if sc.applicationId not in _fallback:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _fallback[sc.applicationId] = tempfile.mkdtemp(prefix="keyloom-")
-    return _fallback[sc.applicationId]
-
-
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = stage_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return persist(df, name)
 
 
 def range_bounds(df: DataFrame, key: str, rows_per_bucket: int) -> list:

@@ -25,6 +25,8 @@ UNKNOWN = "und"
 BITS = 12
 #: Training documents per language, about: chosen by a hash of doc_id, whole texts. Bounds what the driver holds.
 MAX_PER_LANGUAGE = 500
+#: Documents that are learned from in all, and languages: the most frequent ones. Two rows of at most 8 KB a document.
+MAX_LEARNED, MAX_LANGUAGES = 10_000, 200
 SNIPPET_WORDS = 6
 STRIDE = 1 << 20
 
@@ -148,14 +150,16 @@ def _label(batches: Iterator[pa.RecordBatch], model: Discriminator) -> Iterator[
 
 
 def train(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> Discriminator:
-    """Learn from text and lang of docs (rows with nulls or without a letter are passed over). Of each language about
-    max_per_language documents are taken, by a hash of doc_id; each counts whole and as a snippet from its middle."""
+    """Learn from text and lang of docs (rows with nulls or without a letter are passed over). Of each of the MAX_LANGUAGES
+    most frequent languages about max_per_language documents are taken, by a hash of doc_id, and about MAX_LEARNED in
+    all; each counts whole and as a snippet from its middle."""
     ship(docs.sparkSession)
     known = docs.filter("lang is not null and text is not null and doc_id is not null")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r.lang: r.n for r in most.collect()}
     if not counts:
         return Discriminator(OneVersusOne([]), {})
-    share = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, max_per_language / n))))
+    share = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, max_per_language / n, MAX_LEARNED / len(counts) / n))))
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     sample = known.filter(lot < share[F.col("lang")]).select("lang", "text").mapInArrow(_measure, "lang string, x binary")
     got = sorted(((r.lang, bytes(r.x)) for r in sample.collect()), key=lambda r: r)

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
-from .common import bucket_of, prefix, range_bounds, stage, stage_path
+from ..plans.persist import shared_path
+from .common import bucket_of, prefix, range_bounds, stage
 from .tokens import blocks, encoder
 
 MASK = 0xA282EAD8
@@ -183,7 +184,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, bytes_per_fi
     """
     spark = docs.sparkSession
     ship(spark)
-    folder = folder or stage_path(spark, "records")
+    folder = folder or shared_path(spark, "records")
     bounds, width = file_bounds(docs, bytes_per_file, rows_per_cell), encoder(tokenizer).dtype.itemsize
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"), bucket_of(F.col("doc_id"), bounds).cast("int").alias("bucket"))
