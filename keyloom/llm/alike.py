@@ -141,46 +141,32 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of each bucket (rows with one key, which come together): its rows whose checks differ from another's in at most
-    `most` bits; and candidates, as rows with key -1, node (the leader), other and check0 (the distance). A leader is
-    the first row that is near no leader before, so each row is a candidate with one leader at most, however large the
-    bucket."""
+    `most` bits; and candidates, as rows with key -1, node, other and check0 (the distance). Each row has one candidate
+    at most: the nearest of the SMALL rows before and after it, however large the bucket."""
     kinds = pa.schema([(n, pa.int64()) for n in ("key", "node", "other", *CHECKS)])
 
-    def near_in_small(key: np.ndarray, check: np.ndarray, longest: int) -> np.ndarray:
-        """Whether a row is near another of its bucket, for buckets of at most `longest` rows."""
-        out = np.zeros(len(key), bool)
-        for step in range(1, longest):
-            hit = (key[step:] == key[:-step]) & (_apart(check[:, step:], check[:, :-step]) <= most)
-            out[:-step] |= hit
-            out[step:] |= hit
-        return out
-
     def of(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([starts, [len(key)]]))
-        large = np.repeat(size > SMALL, size)
-        live = large.copy()
-        if not large.all():
-            live[~large] = near_in_small(key[~large], check[:, ~large], int(size[size <= SMALL].max()))
-        key, node, check, large = key[live], node[live], check[:, live], large[live]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] * (3 + CHECK)]
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
-            own = np.arange(lo, hi)
-            own = own[np.argsort(node[own], kind="stable")]
-            left, alone = own, []
-            while len(left):
-                leader, left = left[0], left[1:]
-                distance = _apart(check[:, left], check[:, leader, None])
-                near = distance <= most
-                k = int(near.sum())
-                if k:
-                    out.append([np.full(k, -1), np.full(k, node[leader]), node[left[near]], distance[near], *[np.zeros(k, np.int64)] * (CHECK - 1)])
-                    left = left[~near]
-                elif large[lo] and (_apart(check[:, own], check[:, leader, None]) <= most).sum() < 2:
-                    alone.append(leader)
-            own = np.setdiff1d(own, alone) if alone else own
-            out.append([key[own], node[own], np.full(len(own), -1), *check[:, own].view(np.int64)])
+        after = np.repeat(starts + size, size) - np.arange(len(key)) - 1
+        # The distance to the nearest so far, and which row it is.
+        best = np.full(len(key), np.iinfo(np.int64).max)
+        own = np.flatnonzero(after)
+        for step in range(1, min(SMALL, int(size.max())) + 1):
+            own = own[after[own] >= step]
+            other = own + step
+            apart = _apart(check[:, own], check[:, other]) << 40
+            best[own] = np.minimum(best[own], apart | other)
+            best[other] = np.minimum(best[other], apart | own)
+        near = best >> 40 <= most
+        pairs = np.flatnonzero(near)
+        nearest = best[pairs] & ((1 << 40) - 1)
+        # Of a bucket that is larger than what rows were compared with, the others may be near rows further on.
+        for i in np.flatnonzero(~near & np.repeat(size > SMALL + 1, size)):
+            lo = i + after[i] + 1 - size[np.searchsorted(starts, i, "right") - 1]
+            near[i] = (_apart(check[:, lo : i + after[i] + 1], check[:, i, None]) <= most).sum() > 1
+        rows = np.flatnonzero(near)
+        out = [[np.full(len(pairs), -1), node[pairs], node[nearest], best[pairs] >> 40, *[np.zeros(len(pairs), np.int64)] * (CHECK - 1)], [key[rows], node[rows], np.full(len(rows), -1), *check[:, rows].view(np.int64)]]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=kinds)
 
     held = np.empty((2 + CHECK, 0), np.int64)
@@ -202,16 +188,36 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["node", "words"])
 
 
+def linkable(sets: DataFrame, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+    """node, n and shared of the sets (node, words) that another could be as alike as `least`: n elements, of which
+    `shared` are in another of these sets.
+
+    Two sets of n and m elements with o in common have the Jaccard similarity o / (n + m - o), which is `least` or more
+    only if o is least / (1 + least) times n + m, and least times n. An element that no other set has is in no common
+    part. So a copy with many words of its own goes without a comparison, and what is in sets that went counts no more
+    in the next round. No set goes that has a partner.
+    """
+    left = sets
+    for _ in range(rounds):
+        words = left.select("node", F.explode("words").alias("w"))
+        alone = words.groupBy("w").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+        own = left.select("node", F.size("words").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+        own = stage(own.filter(F.col("shared") >= F.col("n") * (least - 1e-12)), "alike-linkable")
+        left = sets.join(F.broadcast(own.select("node")) if own.count() <= BROADCAST_ROWS else own.select("node"), "node", "left_semi")
+    return own
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash and root of every document: documents with one root are near-duplicates, linked by pairs
     whose sets of word shingles have a Jaccard similarity of `least` or more.
 
     Reads doc_id and text (null: empty). Texts with equal sets are one node (those without a word, too, which are like
     nothing else). A node's SimHash has as many bits as shape() says; every segment is indexed with each of its bits
-    deleted, and signatures are joined by equality. Within a bucket, rows whose checks are near a leader's are
-    candidates with it. The nearest NEAREST candidates of each node are compared by their whole sets, which joins large groups in
-    steps linear in their size; then all pairs of a bucket that are near and still in different components are, so no
-    candidate is left out. What can be missed is a pair that shares no signature: at `least`, 1 - RECALL.
+    deleted, and signatures are joined by equality; rows of a bucket whose checks are near are candidates. Those whose
+    sets no other could be like enough, by linkable(), go. The NEAREST nearest candidates of each node are compared by
+    their whole sets, which joins large groups in steps linear in their size; then all candidates that are still in
+    different components are, so none is left out. What can be missed is a pair that shares no signature: at `least`,
+    1 - RECALL.
     """
     ship(docs.sparkSession)
     made, checks = shape(docs.count(), least), ", ".join(f"{c} long" for c in CHECKS)
@@ -231,6 +237,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
     held = texts.select("text_hash", "text").join(F.broadcast(named) if few else named, "text_hash").select("node", "text")
     sets = stage(held.mapInArrow(lambda batches: _sets(batches, width), "node long, words array<long>").dropDuplicates(["node"]), "alike-sets")
 
+    live = linkable(sets, least)
+    few = live.count() <= BROADCAST_ROWS
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are as alike as asked for."""
         side = lambda c: sets.select(F.col("node").alias(c), F.col("words").alias(f"{c}_words"))
@@ -238,21 +247,30 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
         alike = both >= F.lit(least) * (F.size("a_words") + F.size("b_words") - both)
         return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b")
 
-    pairs = found.filter("key < 0").groupBy(F.col("node").alias("a"), F.col("other").alias("b")).agg(F.min("check0").alias("d"))
-    nearest = Window.partitionBy("b").orderBy("d", "a")
-    tried = stage(pairs.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= NEAREST).select("a", "b"), "alike-pairs")
+    def could(pairs: DataFrame, *on: str) -> DataFrame:
+        for c in on:
+            own = live.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("shared").alias(f"{c}_shared"))
+            pairs = pairs.join(F.broadcast(own) if few else own, c)
+        return pairs
+
+    enough = lambda n, m, x, y: F.least(x, y) >= F.lit(least / (1 + least) - 1e-12) * (n + m)
+    pairs = found.filter("key < 0").groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.min("check0").alias("d"))
+    pairs = could(pairs, "a", "b").filter(enough(F.col("a_n"), F.col("b_n"), F.col("a_shared"), F.col("b_shared")))
+    pairs = pairs.select("a", "b", "d", F.explode(F.array("a", "b")).alias("node"))
+    nearest = Window.partitionBy("node").orderBy("d", "a", "b")
+    tried = stage(pairs.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= NEAREST).select("a", "b").distinct(), "alike-pairs")
     links = stage(linked(tried), "alike-links")
     of_node = stage(connected_components(links), "alike-components")
-    rooted = rows.join(of_node, "node", "left").select("key", "node", *CHECKS, F.coalesce("component", "node").alias("root"))
+    rooted = could(rows, "node").join(of_node, "node", "left").select("key", "node", "node_n", "node_shared", *CHECKS, F.coalesce("component", "node").alias("root"))
     sizes = of_node.groupBy(F.col("component").alias("root")).agg(F.count("*").alias("size"))
     rooted = stage(rooted.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1))), "alike-rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("size", "root")).alias("most")).filter("lo < hi").select("key", F.col("most.root").alias("main"))
     open_ = rooted.join(split, "key")
     # Every such pair has a side that isn't in the bucket's largest component.
     a, b = open_.filter("root <> main").alias("a"), open_.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in CHECKS) <= made.most)
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in CHECKS) <= made.most) & enough(F.col("a.node_n"), F.col("b.node_n"), F.col("a.node_shared"), F.col("b.node_shared"))
     left = a.join(b, near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    more = stage(linked(left.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")), "alike-links")
+    more = stage(linked(left.join(tried, ["a", "b"], "left_anti")), "alike-links")
     if more.take(1):
         of_node = stage(connected_components(links.unionByName(more)), "alike-components")
     roots = nodes.select("same", "node").join(of_node, "node", "left").select("same", F.coalesce("component", "node").alias("root"))

@@ -73,7 +73,7 @@ def test_large_groups_give_few_candidates():
     checks = base[:, None] ^ (np.uint64(1) << r.integers(0, 64, (2, n), np.uint64))
     batch = pa.record_batch({"key": np.full(n, 7), "node": np.arange(n), "check0": checks[0].view(np.int64), "check1": checks[1].view(np.int64)})
     rows = [x for b in alike._buckets([batch.slice(0, 700), batch.slice(700)], 34) for x in b.to_pylist()]
-    assert sum(x["key"] < 0 for x in rows) == n - 1 and sum(x["key"] == 7 for x in rows) == n
+    assert sum(x["key"] < 0 for x in rows) == n and sum(x["key"] == 7 for x in rows) == n
     far = pa.record_batch({"key": np.arange(n) // 3, "node": np.arange(n), "check0": r.integers(0, 1 << 62, n), "check1": r.integers(0, 1 << 62, n)})
     assert not [x for b in alike._buckets([far], 20) for x in b.to_pylist()]
 
@@ -95,4 +95,20 @@ def test_rows_of_buckets_are_those_near_another():
         assert {x["node"] for x in rows if x["key"] == 1} == want
         at = {int(v): i for i, v in enumerate(node)}
         pairs = [(x["node"], x["other"], x["check0"]) for x in rows if x["key"] < 0]
-        assert all(apart[at[a], at[b]] == d <= 20 for a, b, d in pairs) and len({b for _, b, _ in pairs}) == len(pairs) <= n
+        assert all(a != b and apart[at[a], at[b]] == d <= 20 for a, b, d in pairs) and len({a for a, _, _ in pairs}) == len(pairs) <= n
+        if n <= alike.SMALL:
+            np.fill_diagonal(apart, 999)
+            assert {a: d for a, _, d in pairs} == {int(node[i]): apart[i].min() for i in range(n) if apart[i].min() <= 20}
+
+
+def test_sets_that_go_have_no_partner(spark):
+    r = random.Random(7)
+    base = list(range(100))
+    own = [set(base) - set(r.sample(base, k)) | {1000 * i + j for j in range(k)} for i in range(1, 80) for k in [r.randint(0, 30)]]
+    own += [set(range(5000, 5040)), set(range(5000, 5041)), {9}, set(range(7000, 7010))]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(own)], "node long, words array<long>")
+    got = {x.node: x for x in alike.linkable(df).collect()}
+    for i, a in enumerate(own):
+        if any(len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(own) if j != i):
+            assert i in got
+    assert len(got) < 70 and all(x.shared <= x.n == len(own[i]) for i, x in got.items())
