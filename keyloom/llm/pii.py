@@ -20,7 +20,15 @@ NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 #: Terms: runs of 3 to 41 letters, with apostrophes and hyphens inside and no digit beside.
 TERM = r"(?<![\p{L}\p{N}])\p{L}(?:['’-]?\p{L}){2,40}+(?!['’-]?\p{L}|\p{N})"
 
-MIN_TEXTS = 3
+#: Secrets: runs of 20 to 200 letters, digits, hyphens and underscores that turn from digits to letters three times and
+#: whose characters carry SECRET_BITS on average.
+SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}+(?![A-Za-z0-9_-])"
+MIXED = r"(?:[0-9][A-Za-z_-]+[0-9_-]*){3}"
+SECRET_BITS = 3.0
+
+#: Texts that a term shares with an entity, and contexts (the terms before and after) that it has in them: at least these
+#: and half as many contexts as texts. Near copies repeat a term's context, so the words of a group of them stay.
+MIN_TEXTS, MIN_CONTEXTS = 3, 5
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 #: Tables of at most this many rows (under 200 bytes each) are broadcast; larger ones are joined by a shuffle.
@@ -100,50 +108,83 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(F.filter(find_spans(text, k, F.lit(p)), passing(k)) for k, p in KINDS.items()))
 
 
+def _bits_per_character(x: Column) -> Column:
+    """Shannon entropy of a string's characters."""
+
+    def of(c: Column) -> Column:
+        n = F.size(c).cast("double")
+        share = lambda d: F.size(F.filter(c, lambda y: y == d)) / n
+        return F.aggregate(F.array_distinct(c), F.lit(0.0), lambda a, d: a - share(d) * F.log2(share(d)))
+
+    return let(F.split(x, "", -1), of)
+
+
+def secret_spans(text: Column) -> Column:
+    """Spans of keys and tokens, which have no pattern but are random: kind secret."""
+    random = lambda s: s["value"].rlike(MIXED) & (_bits_per_character(s["value"]) >= SECRET_BITS)
+    return F.filter(find_spans(text, "secret", F.lit(SECRET)), random)
+
+
+def protected_spans(text: Column) -> Column:
+    """Base spans, then secrets that overlap none of them."""
+    return let(base_spans(text), lambda base: F.concat(base, F.filter(secret_spans(text), lambda s: _apart(base, s))))
+
+
+def _apart(spans: Column, s: Column) -> Column:
+    return ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+
 def _entities(spans: Column) -> Column:
     """What spans protect: their values, letters folded and numbers as digits; of mail addresses also the name before
-    the @ and the domain, which recur where addresses don't."""
+    the @; and that the text holds something of their kind, which recurs where values don't."""
 
     def of(s: Column) -> Column:
         value = F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"]))
-        whole = F.concat_ws(":", s["kind"], value)
-        mail = F.array(whole, F.concat(F.lit("name:"), F.substring_index(value, "@", 1)), F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)))
-        return F.when(s["kind"] == "email", mail).otherwise(F.array(whole))
+        both = F.array(F.concat_ws(":", s["kind"], value), F.concat(F.lit("any:"), s["kind"]))
+        return F.when(s["kind"] == "email", F.concat(both, F.array(F.concat(F.lit("name:"), F.substring_index(value, "@", 1))))).otherwise(both)
 
     return F.array_distinct(F.flatten(F.transform(spans, of)))
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))
+    """A text's terms in order, without those in mail addresses."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.regexp_extract_all(F.lower(bare), F.lit(TERM), 0)
 
 
 def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def disclosing_terms(texts: DataFrame, seen: DataFrame, min_texts: int = MIN_TEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def disclosing_terms(texts: DataFrame, seen: DataFrame, min_texts: int = MIN_TEXTS, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """Terms that reveal a protected entity, estimated over the whole corpus: text_hash, term, share, for every text that
     holds one, whether it holds the entity or not.
 
-    texts has text_hash and text, seen has text_hash, text and spans (base_spans()) of those with any. All counts are of
-    distinct texts. With N texts, n(t), n(c) and n(t, c) having the term t, the entity c and both, a term's share of
-    what there is to know about c is PMI(t, c) / IC(c) = log(n(t, c) N / (n(t) n(c))) / log(N / n(c)). It is 1 when t
-    occurs in no text without c. Terms in min_texts texts with c whose share is generalise_at or more are returned, with
-    their highest share.
+    texts has text_hash and text, seen has text_hash, text and spans (protected_spans()) of those with any. All counts
+    are of distinct texts. With N texts, n(t), n(c) and n(t, c) having the term t, the entity c and both, a term's share
+    of what there is to know about c is PMI(t, c) / IC(c) = log(n(t, c) N / (n(t) n(c))) / log(N / n(c)). It is 1 when t
+    occurs in no text without c. Terms whose share is generalise_at or more are returned with their highest share, if
+    they are in min_texts texts with c, and in min_contexts contexts there, half as many as texts.
     """
     n = F.lit(float(max(texts.select("text_hash").distinct().count(), 1)))
     held = seen.dropDuplicates(["text_hash"])
     entities = stage(held.select("text_hash", F.explode(_entities(F.col("spans"))).alias("entity")), "pii-entities")
     # An entity of fewer texts has no term in min_texts of them, so its texts' terms need not be paired with it.
-    n_entity = stage(entities.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= min_texts), "pii-counts")
-    entities = stage(entities.join(_bounded(n_entity), "entity"), "pii-recurring")
-    beside = stage(held.join(_bounded(entities.select("text_hash").distinct()), "text_hash").select("text_hash", F.explode(_terms(F.col("text"))).alias("term")), "pii-beside")
-    n_beside = beside.groupBy("term").agg(F.count("*").alias("n_beside")).filter(F.col("n_beside") >= min_texts)
-    both = beside.join(entities, "text_hash").groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).filter(F.col("n_both") >= min_texts)
-    # n(t) is at least the number of texts that have t beside any recurring entity; a pair that can't reach its share goes here.
+    n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity")).filter((F.col("n_entity") >= min_texts) & (F.col("n_entity") < n))
+    entities = stage(entities.join(_bounded(stage(n_entity, "pii-counts")), "entity"), "pii-recurring")
+    place = lambda t: lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.coalesce(F.get(t, i - 1), F.lit("")), F.coalesce(F.get(t, i + 1), F.lit(""))).alias("context"))
+    found = held.join(_bounded(entities.select("text_hash").distinct()), "text_hash")
+    found = found.select("text_hash", F.explode(let(_terms(F.col("text")), lambda t: F.transform(t, place(t)))).alias("t"))
+    beside = stage(found.select("text_hash", "t.term", "t.context").distinct(), "pii-beside")
+    often = beside.groupBy("term").agg(F.count_distinct("text_hash").alias("texts"), F.count_distinct("context").alias("contexts"))
+    often = stage(often.filter((F.col("texts") >= min_texts) & (F.col("contexts") >= min_contexts)).select("term"), "pii-often")
+    both = beside.join(_bounded(often), "term").join(entities, "text_hash").groupBy("entity", "term").agg(F.count_distinct("text_hash").alias("n_both"), F.count_distinct("context").alias("contexts"), F.first("n_entity").alias("n_entity"))
+    enough = (F.col("n_both") >= min_texts) & (F.col("contexts") >= min_contexts) & (2 * F.col("contexts") >= F.col("n_both"))
+    # n(t) is n(t, c) at least and what texts with an entity have of it; a pair that can't reach its share goes here.
     reach = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - generalise_at))
-    pairs = stage(both.join(n_beside, "term").filter((F.col("n_beside") <= reach * (1 + 1e-9)) & (F.col("n_entity") < n)).drop("n_beside"), "pii-pairs")
-    own = texts.select("text_hash", F.explode(_terms(F.col("text"))).alias("term"))
+    n_beside = beside.join(_bounded(often), "term").groupBy("term").agg(F.count_distinct("text_hash").alias("n_beside"))
+    pairs = stage(both.filter(enough).join(n_beside, "term").filter(F.col("n_beside") <= reach * (1 + 1e-9)).drop("n_beside"), "pii-pairs")
+    own = texts.select("text_hash", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     holders = stage(own.join(_bounded(pairs.select("term").distinct()), "term").distinct(), "pii-holders")
     n_term = holders.groupBy("term").agg(F.count("*").alias("n_term"))
     told = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
@@ -156,23 +197,23 @@ def find_personal_data(docs: DataFrame, remove_at: float = REMOVE_AT, **options)
     """All spans of personal data in every whole text (null: empty), and the sanitised text.
 
     Returns row (a struct of the columns of docs, whatever their names), base and spans (arrays of kind, start, end,
-    value; base kinds in their order, then term), and clean: base spans become their kind's tag, terms are removed from
-    remove_at upwards and generalised to <NAME> or <WORD> below. Overlapping spans are replaced together, by the tag of
-    the first. Terms that overlap a base span are left to it. A null text stays null in clean. Near copies are texts of
-    their own, so what they alone have is told by an entity in them; where that isn't wanted, drop them first.
+    value; base kinds in their order, then secret, then term), and clean: spans become their kind's tag, but terms are
+    removed from remove_at upwards and generalised to <NAME> or <WORD> below. Overlapping spans are replaced together, by
+    the tag of the first. Secrets that overlap a base span, and terms that overlap either, are left to it. A null text
+    stays null in clean.
     """
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    seen = stage(texts.withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0), "pii-seen")
+    seen = stage(texts.withColumn("spans", protected_spans(F.col("text"))).filter(F.size("spans") > 0), "pii-seen")
     by_text = disclosing_terms(texts, seen, **options).groupBy("text_hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("terms"))
     by_text = _bounded(stage(by_text, "pii-terms").withColumnRenamed("text_hash", "h"))
     own = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64(text).alias("text_hash")).join(by_text, F.col("text_hash") == F.col("h"), "left")
-    apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    told = lambda t: F.element_at("terms", F.lower(t["value"])).isNotNull() & apart(t)
+    told = lambda t: F.element_at("terms", F.lower(t["value"])).isNotNull() & _apart(F.col("protected"), t)
     spans = (
-        own.withColumn("base", base_spans(F.col("text")))
+        own.withColumn("protected", protected_spans(F.col("text")))
+        .withColumn("base", F.filter("protected", lambda s: s["kind"] != "secret"))
         .withColumn("found", F.when(F.col("terms").isNotNull(), F.filter(find_spans(F.col("text"), "term", F.lit(TERM)), told)).otherwise(F.array().cast(SPAN)))
-        .withColumn("spans", F.concat("base", "found"))
+        .withColumn("spans", F.concat("protected", "found"))
     )
 
     def tag(s: Column) -> Column:

@@ -84,12 +84,15 @@ def test_base_spans(spark, docs):
 
 
 def test_disclosing_terms_go(spark, docs):
-    rows = [(i, f"report {i} by Zorblax about ann@x.org item{i} from the desk {i * 7}") for i in range(6)]
+    # A term counts by the contexts that it has beside an entity, so Zorblax stands between words that differ.
+    near = ["alpha", "beta", "gamma", "delta", "kappa", "sigma"]
+    rows = [(i, f"report {i} by {near[i]} Zorblax about ann@x.org item{i} from the desk {i * 7}") for i in range(6)]
+    rows += [(50 + i, f"{w} stays") for i, w in enumerate(near * 3)]
     rows += [(100 + i, f"the desk has report {i} about other things from day {i}") for i in range(60)] + [(None, None), (7, "")]
     got = {r.row.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0].clean == "report 0 by  about <EMAIL> item0 from the desk 0"
+    assert got[0].clean == "report 0 by alpha  about <EMAIL> item0 from the desk 0"
     assert [s.kind for s in got[0].spans] == ["email", "term"]
-    assert got[100].clean == rows[6][1] and got[None].clean is None and got[7].clean == ""
+    assert got[100].clean == rows[24][1] and got[None].clean is None and got[7].clean == ""
     kept = pii.find_personal_data(docs).select("row.*", "clean").collect()
     assert len(kept) == len(TEXTS) and all(r.bucket == "clash" for r in kept)
     assert pii.find_personal_data(empty(docs)).count() == 0
