@@ -146,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, **
     """
     own = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # at most 16 bytes x max_labelled to broadcast
-    measured = text_statistics(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "quality", "text")).filter(~F.col("base_failed"))
-    got = measured.select("quality", F.xxhash64("doc_id").alias("h"), F.array(*_features().values()).alias("x")).collect()
+    measured = text_statistics(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "quality", "text"))
+    # Filtered here, as a condition on the texts alone would be evaluated before the join, for all of them.
+    got = [r for r in measured.select("quality", F.xxhash64("doc_id").alias("h"), F.array(*_features().values()).alias("x"), "base_failed").collect() if not r.base_failed]
     got.sort(key=lambda r: (r.h, r.x))
     x = np.array([r.x for r in got], dtype=float).reshape(len(got), len(FEATURES))
     return learn_rules(x, np.array([r.quality == 0 for r in got], dtype=bool), **options)
