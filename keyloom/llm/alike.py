@@ -9,7 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
@@ -24,7 +24,7 @@ SIMILARITY = 0.8
 #: Probability that two sets at the similarity share a signature, and that their checks differ as little as is let.
 RECALL, CHECK_RECALL = 0.994, 0.9995
 #: 64-bit words of a fingerprint that make its check.
-CHECK = 2
+CHECK = 4
 #: Least bits of a segment; it has so many that few of n fingerprints at random share one with a bit deleted.
 SEGMENT = 16
 #: Candidates of a node that are compared first; all others are if that doesn't put both in one component.
@@ -188,6 +188,19 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["node", "words"])
 
 
+def _first_signature(x: list[Column], made: Shape) -> Column:
+    """Of the signatures that two fingerprints share, whose checks differ by the words x, the head of the first key: of
+    the first segment in the check that differs in one bit at most, the one without that bit, or without the segment's
+    lowest if there is none; null if the check has no such segment."""
+    out = None
+    for s in range(min(made.segments, CHECK * made.in_word)):
+        part = F.shiftrightunsigned(x[s // made.in_word], s % made.in_word * made.bits).bitwiseAND(F.lit((1 << made.bits) - 1))
+        for n, wild in ((0, F.lit(0)), (1, F.bit_count(part - 1))):
+            head = (F.lit(s << 5) + wild).cast("long")
+            out = F.when(F.bit_count(part) == n, head) if out is None else out.when(F.bit_count(part) == n, head)
+    return out
+
+
 def linkable(sets: DataFrame, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
     """node, n and shared of the sets (node, words) that another could be as alike as `least`: n elements, of which
     `shared` are in another of these sets.
@@ -266,9 +279,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
     rooted = stage(rooted.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1))), "alike-rooted")
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("size", "root")).alias("most")).filter("lo < hi").select("key", F.col("most.root").alias("main"))
     open_ = rooted.join(split, "key")
-    # Every such pair has a side that isn't in the bucket's largest component.
+    # Every such pair has a side that isn't in the bucket's largest component. One signature reports it, once.
     a, b = open_.filter("root <> main").alias("a"), open_.alias("b")
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in CHECKS) <= made.most) & enough(F.col("a.node_n"), F.col("b.node_n"), F.col("a.node_shared"), F.col("b.node_shared"))
+    apart = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in CHECKS]
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
+    near = near & (sum(map(F.bit_count, apart)) <= made.most) & enough(F.col("a.node_n"), F.col("b.node_n"), F.col("a.node_shared"), F.col("b.node_shared"))
+    head = F.shiftrightunsigned("a.key", 32)
+    near = near & (F.coalesce(_first_signature(apart, made), head) == head)
     left = a.join(b, near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     more = stage(linked(left.join(tried, ["a", "b"], "left_anti")), "alike-links")
     if more.take(1):

@@ -69,12 +69,13 @@ def test_large_groups_give_few_candidates():
     import pyarrow as pa
 
     r = np.random.default_rng(3)
-    n, base = 2000, r.integers(0, 1 << 63, 2, np.uint64)
-    checks = base[:, None] ^ (np.uint64(1) << r.integers(0, 64, (2, n), np.uint64))
-    batch = pa.record_batch({"key": np.full(n, 7), "node": np.arange(n), "check0": checks[0].view(np.int64), "check1": checks[1].view(np.int64)})
+    n, base = 2000, r.integers(0, 1 << 63, alike.CHECK, np.uint64)
+    checks = base[:, None] ^ (np.uint64(1) << r.integers(0, 64, (alike.CHECK, n), np.uint64))
+    words = lambda checks: {c: x.view(np.int64) for c, x in zip(alike.CHECKS, checks)}
+    batch = pa.record_batch({"key": np.full(n, 7), "node": np.arange(n), **words(checks)})
     rows = [x for b in alike._buckets([batch.slice(0, 700), batch.slice(700)], 34) for x in b.to_pylist()]
     assert sum(x["key"] < 0 for x in rows) == n and sum(x["key"] == 7 for x in rows) == n
-    far = pa.record_batch({"key": np.arange(n) // 3, "node": np.arange(n), "check0": r.integers(0, 1 << 62, n), "check1": r.integers(0, 1 << 62, n)})
+    far = pa.record_batch({"key": np.arange(n) // 3, "node": np.arange(n), **words(r.integers(0, 1 << 62, (alike.CHECK, n), np.uint64))})
     assert not [x for b in alike._buckets([far], 20) for x in b.to_pylist()]
 
 
@@ -83,22 +84,23 @@ def test_rows_of_buckets_are_those_near_another():
     import pyarrow as pa
 
     r = np.random.default_rng(8)
-    centres = r.integers(0, 1 << 63, (2, 6), np.uint64)
+    k = alike.CHECK
+    centres = r.integers(0, 1 << 63, (k, 6), np.uint64)
     for n in (3, 60, 150):
         pick = r.integers(0, 9, n)
-        flips = np.array([[np.bitwise_xor.reduce(np.uint64(1) << r.integers(0, 64, r.integers(0, 12), np.uint64)) for _ in range(n)] for _ in range(2)], np.uint64)
-        checks = np.where(pick < 6, centres[:, np.minimum(pick, 5)] ^ flips, r.integers(0, 1 << 63, (2, n), np.uint64))
-        batch = pa.record_batch({"key": np.full(n, 1), "node": r.permutation(n), "check0": checks[0].view(np.int64), "check1": checks[1].view(np.int64)})
-        rows = [x for b in alike._buckets([batch], 20) for x in b.to_pylist()]
+        flips = np.array([[np.bitwise_xor.reduce(np.uint64(1) << r.integers(0, 64, r.integers(0, 12), np.uint64)) for _ in range(n)] for _ in range(k)], np.uint64)
+        checks = np.where(pick < 6, centres[:, np.minimum(pick, 5)] ^ flips, r.integers(0, 1 << 63, (k, n), np.uint64))
+        batch = pa.record_batch({"key": np.full(n, 1), "node": r.permutation(n), **{c: x.view(np.int64) for c, x in zip(alike.CHECKS, checks)}})
+        rows = [x for b in alike._buckets([batch], 40) for x in b.to_pylist()]
         node, apart = batch.column("node").to_numpy(), np.bitwise_count(checks[:, :, None] ^ checks[:, None, :]).sum(0)
-        want = {int(node[i]) for i in range(n) if (apart[i] <= 20).sum() > 1}
+        want = {int(node[i]) for i in range(n) if (apart[i] <= 40).sum() > 1}
         assert {x["node"] for x in rows if x["key"] == 1} == want
         at = {int(v): i for i, v in enumerate(node)}
         pairs = [(x["node"], x["other"], x["check0"]) for x in rows if x["key"] < 0]
-        assert all(a != b and apart[at[a], at[b]] == d <= 20 for a, b, d in pairs) and len({a for a, _, _ in pairs}) == len(pairs) <= n
+        assert all(a != b and apart[at[a], at[b]] == d <= 40 for a, b, d in pairs) and len({a for a, _, _ in pairs}) == len(pairs) <= n
         if n <= alike.SMALL:
             np.fill_diagonal(apart, 999)
-            assert {a: d for a, _, d in pairs} == {int(node[i]): apart[i].min() for i in range(n) if apart[i].min() <= 20}
+            assert {a: d for a, _, d in pairs} == {int(node[i]): apart[i].min() for i in range(n) if apart[i].min() <= 40}
 
 
 def test_sets_that_go_have_no_partner(spark):
@@ -112,3 +114,25 @@ def test_sets_that_go_have_no_partner(spark):
         if any(len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(own) if j != i):
             assert i in got
     assert len(got) < 70 and all(x.shared <= x.n == len(own[i]) for i, x in got.items())
+
+
+def test_one_signature_reports_a_pair(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    made = alike.shape(1000)
+    prints = [[r.getrandbits(64) for _ in range(4)] for _ in range(12)]
+    pairs = []
+    for p in prints:
+        for flips in (0, 1, 8, 20, 40, 60):
+            q = list(p)
+            for i in r.sample(range(256), flips):
+                q[i // 64] ^= 1 << i % 64
+            pairs.append((p, q))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    heads = lambda p: {(s << 5 | i, (p[s // 4] >> 16 * (s % 4)) & 0xFFFF & ~(1 << i)) for s in range(16) for i in range(16)}
+    df = spark.createDataFrame([(i, *(signed(a ^ b) for a, b in zip(p, q))) for i, (p, q) in enumerate(pairs)], "i int, x0 long, x1 long, x2 long, x3 long")
+    got = {x.i: x.head for x in df.select("i", alike._first_signature([F.col(f"x{k}") for k in range(4)], made).alias("head")).collect()}
+    for i, (p, q) in enumerate(pairs):
+        shared = {h for h, _ in heads(p) & heads(q)}
+        assert (got[i] in shared and got[i] >> 5 == min(shared) >> 5) if shared else got[i] is None
