@@ -47,7 +47,10 @@ def by_group(df: DataFrame, key: str, order: list[str], kernel: Callable[[pa.Tab
 
     ship(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema))
-    sorted_groups = df.repartition(key).sortWithinPartitions(key, *order)
+    # A number of partitions of its own, so that few bytes, whose kernels may take long, are not put into one task.
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    sorted_groups = df.repartition(tasks, key).sortWithinPartitions(key, *order)
     return sorted_groups.mapInArrow(lambda batches: _stream(batches, key, kernel, out), schema)
 
 
