@@ -12,12 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces remembered in a worker (about 200 bytes each), the ids they may have together, and the longest one remembered.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 REMEMBERED_IDS = 8 * REMEMBERED
 LONGEST = 48
 #: Pieces that are looked up at a time, and bytes of text that callers should give at a time.
-PIECES = 1 << 19
-BLOCK_BYTES = 1 << 22
+PIECES = 1 << 21
+BLOCK_BYTES = 1 << 23
 
 #: Settings of a model without which its vocabulary and merges make it whole.
 OPTIONS = "dropout unk_token continuing_subword_prefix end_of_word_suffix fuse_unk byte_fallback ignore_merges".split()
