@@ -276,9 +276,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
     of_node = stage(connected_components(links), "alike-components")
     rooted = could(rows, "node").join(of_node, "node", "left").select("key", "node", "node_n", "node_shared", *CHECKS, F.coalesce("component", "node").alias("root"))
     sizes = of_node.groupBy(F.col("component").alias("root")).agg(F.count("*").alias("size"))
-    rooted = stage(rooted.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1))), "alike-rooted")
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct("size", "root")).alias("most")).filter("lo < hi").select("key", F.col("most.root").alias("main"))
-    open_ = rooted.join(split, "key")
+    bucket = Window.partitionBy("key")
+    most = F.max(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root")).over(bucket)
+    split = rooted.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "root", "left").select("*", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi"), most["root"].alias("main"))
+    open_ = stage(split.filter("lo < hi").select("key", "node", "node_n", "node_shared", *CHECKS, "root", "main"), "alike-open")
     # Every such pair has a side that isn't in the bucket's largest component. One signature reports it, once.
     a, b = open_.filter("root <> main").alias("a"), open_.alias("b")
     apart = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in CHECKS]
