@@ -33,6 +33,8 @@ GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 #: Tables of at most this many rows (under 200 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 20_000
+#: The same for rows of two numbers.
+BROADCAST_COPIES = 200_000
 
 
 def _digits(x: Column) -> Column:
@@ -184,13 +186,17 @@ def disclosing_terms(texts: DataFrame, seen: DataFrame, min_texts: int = MIN_TEX
     reach = F.col("n_both") * F.pow(n / F.col("n_entity"), F.lit(1 - generalise_at))
     n_beside = beside.join(_bounded(often), "term").groupBy("term").agg(F.count_distinct("text_hash").alias("n_beside"))
     pairs = stage(both.filter(enough).join(n_beside, "term").filter(F.col("n_beside") <= reach * (1 + 1e-9)).drop("n_beside"), "pii-pairs")
-    own = texts.select("text_hash", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    holders = stage(own.join(_bounded(pairs.select("term").distinct()), "term").distinct(), "pii-holders")
-    n_term = holders.groupBy("term").agg(F.count("*").alias("n_term"))
+    # Every copy of a text counts as its part of one, so counts add up where texts are read and few rows are shuffled.
+    copies = stage(texts.groupBy("text_hash").agg(F.count("*").alias("copies")).filter("copies > 1"), "pii-copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    part = F.lit(1.0) / F.coalesce("copies", F.lit(1))
+    own = texts.join(copies, "text_hash", "left").select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"), part.alias("part"))
+    n_term = own.groupBy("term").agg(F.round(F.sum("part")).alias("n_term"))
     told = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
     share = pairs.join(n_term, "term").withColumn("share", told / F.log(n / F.col("n_entity")))
-    flagged = share.filter(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share"))
-    return holders.join(flagged, "term").select("text_hash", "term", "share")
+    flagged = stage(share.filter(F.col("share") >= generalise_at).groupBy("term").agg(F.max("share").alias("share")), "pii-flagged")
+    held = texts.select("text_hash", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    return held.join(_bounded(flagged), "term").select("text_hash", "term", "share").distinct()
 
 
 def find_personal_data(docs: DataFrame, remove_at: float = REMOVE_AT, **options) -> DataFrame:
