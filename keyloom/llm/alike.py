@@ -29,6 +29,8 @@ CHECK = 4
 SEGMENT = 16
 #: Candidates of a node that are compared first; all others are if that doesn't put both in one component.
 NEAREST = 3
+#: Rounds in which the nearest candidates in other components are compared before all of them are.
+ROUNDS = 2
 #: Rows of a bucket that are compared pair by pair at once.
 SMALL = 64
 #: Tables of at most this many rows (16 bytes each) are broadcast.
@@ -181,6 +183,42 @@ def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield of(held[0], held[1], held[2:].view(np.uint64))
 
 
+def _across(batches: Iterator[pa.RecordBatch], most: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Of each row of a bucket the nearest of the SMALL rows before and after it that is in another component and could
+    be alike: a, b (ascending) and d, the distance of their checks."""
+
+    def of(rows: np.ndarray) -> pa.RecordBatch:
+        (key, node, root, n, shared), check = rows[:5], rows[5:].view(np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([starts, [len(key)]]))
+        after = np.repeat(starts + size, size) - np.arange(len(key)) - 1
+        none = np.iinfo(np.int64).max
+        best, own = np.full(len(key), none), np.flatnonzero(after)
+        for step in range(1, min(SMALL, int(size.max())) + 1):
+            own = own[after[own] >= step]
+            other = own + step
+            d = _apart(check[:, own], check[:, other])
+            ok = (root[own] != root[other]) & (d <= most) & (np.minimum(shared[own], shared[other]) >= (least / (1 + least) - 1e-12) * (n[own] + n[other]))
+            x, y, d = own[ok], other[ok], d[ok] << 40
+            best[x] = np.minimum(best[x], d | y)
+            best[y] = np.minimum(best[y], d | x)
+        pairs = np.flatnonzero(best < none)
+        nearest = best[pairs] & ((1 << 40) - 1)
+        return pa.RecordBatch.from_pydict({"a": np.minimum(node[pairs], node[nearest]), "b": np.maximum(node[pairs], node[nearest]), "d": best[pairs] >> 40})
+
+    names = ("key", "node", "root", "node_n", "node_shared", *CHECKS)
+    held = np.empty((len(names), 0), np.int64)
+    for batch in batches:
+        rows = np.concatenate([held, np.array([batch.column(n).to_numpy() for n in names], np.int64)], axis=1)
+        if rows.shape[1]:
+            last = int(np.flatnonzero(rows[0] != rows[0][-1]).max(initial=-1)) + 1
+            held = rows[:, last:]
+            if last:
+                yield of(rows[:, :last])
+    if held.shape[1]:
+        yield of(held)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in blocks(batch):
@@ -201,7 +239,7 @@ def _first_signature(x: list[Column], made: Shape) -> Column:
     return out
 
 
-def linkable(sets: DataFrame, least: float = SIMILARITY, rounds: int = 2) -> DataFrame:
+def linkable(sets: DataFrame, least: float = SIMILARITY, rounds: int = 3) -> DataFrame:
     """node, n and shared of the sets (node, words) that another could be as alike as `least`: n elements, of which
     `shared` are in another of these sets.
 
@@ -269,16 +307,33 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
     enough = lambda n, m, x, y: F.least(x, y) >= F.lit(least / (1 + least) - 1e-12) * (n + m)
     pairs = found.filter("key < 0").groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.min("check0").alias("d"))
     pairs = could(pairs, "a", "b").filter(enough(F.col("a_n"), F.col("b_n"), F.col("a_shared"), F.col("b_shared")))
-    pairs = pairs.select("a", "b", "d", F.explode(F.array("a", "b")).alias("node"))
-    nearest = Window.partitionBy("node").orderBy("d", "a", "b")
-    tried = stage(pairs.withColumn("nth", F.row_number().over(nearest)).filter(F.col("nth") <= NEAREST).select("a", "b").distinct(), "alike-pairs")
+
+    def closest(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, d) that are among the NEAREST nearest of a or of b."""
+        nearest = Window.partitionBy("node").orderBy("d", "a", "b")
+        ends = pairs.select("a", "b", "d", F.explode(F.array("a", "b")).alias("node")).withColumn("nth", F.row_number().over(nearest))
+        return ends.filter(F.col("nth") <= NEAREST).select("a", "b").distinct()
+
+    def rooted(of_node: DataFrame) -> DataFrame:
+        return could(rows, "node").join(of_node, "node", "left").select("key", "node", "node_n", "node_shared", *CHECKS, F.coalesce("component", "node").alias("root"))
+
+    tried = stage(closest(pairs), "alike-pairs")
     links = stage(linked(tried), "alike-links")
     of_node = stage(connected_components(links), "alike-components")
-    rooted = could(rows, "node").join(of_node, "node", "left").select("key", "node", "node_n", "node_shared", *CHECKS, F.coalesce("component", "node").alias("root"))
+    for _ in range(ROUNDS):
+        dealt = rooted(of_node).repartition("key").sortWithinPartitions("key")
+        pairs = dealt.mapInArrow(lambda batches: _across(batches, made.most, least), "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+        fresh = stage(closest(pairs.join(tried, ["a", "b"], "left_anti")), "alike-pairs")
+        more = stage(linked(fresh), "alike-links")
+        tried = tried.unionByName(fresh)
+        if not more.take(1):
+            break
+        links = links.unionByName(more)
+        of_node = stage(connected_components(links), "alike-components")
     sizes = of_node.groupBy(F.col("component").alias("root")).agg(F.count("*").alias("size"))
     bucket = Window.partitionBy("key")
     most = F.max(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root")).over(bucket)
-    split = rooted.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "root", "left").select("*", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi"), most["root"].alias("main"))
+    split = rooted(of_node).join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "root", "left").select("*", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi"), most["root"].alias("main"))
     open_ = stage(split.filter("lo < hi").select("key", "node", "node_n", "node_shared", *CHECKS, "root", "main"), "alike-open")
     # Every such pair has a side that isn't in the bucket's largest component. One signature reports it, once.
     a, b = open_.filter("root <> main").alias("a"), open_.alias("b")
