@@ -106,14 +106,15 @@ def link_fingerprints(prints: DataFrame, max_distance: int = MAX_DISTANCE, n: in
 
     Every fingerprint is indexed under its one-wildcard signatures, one a bit of each of segments(), and signatures are
     joined by equality. The join's own condition verifies the distance and lets one shared signature report a pair, so
-    the join emits links only.
+    the join emits links only. It is always a merge join: Spark takes an exploded row for as large as what it came from,
+    so it would broadcast the 64 rows or more of each print, through the driver, where the prints alone look small.
     """
     parts = segments(max_distance, n)
     index = prints.select("fingerprint", F.explode(_variants(F.col("fingerprint"), parts)).alias("s")).select("fingerprint", "s.wild", "s.rest")
     a, b = index.alias("a"), index.alias("b")
     x = F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))
     near = (F.col("a.fingerprint") < F.col("b.fingerprint")) & (F.bit_count(x) <= max_distance) & (F.col("a.wild") == _only_signature(x, parts))
-    return a.join(b, (F.col("a.wild") == F.col("b.wild")) & (F.col("a.rest") == F.col("b.rest")) & near).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
+    return a.hint("merge").join(b.hint("merge"), (F.col("a.wild") == F.col("b.wild")) & (F.col("a.rest") == F.col("b.rest")) & near).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, width: int = SHINGLE) -> DataFrame:

@@ -35,3 +35,12 @@ def test_some_part_has_one_difference_at_most(n):
         for _ in range(400):
             x = sum(1 << i for i in r.sample(range(64), most))
             assert min((x & m).bit_count() for m in masks) <= 1
+
+
+@pytest.mark.parametrize("n", [0, simhash.FEW + 1])
+def test_the_index_is_never_broadcast(spark, tmp_path, n):
+    spark.range(1000).selectExpr("xxhash64(id) as fingerprint").write.parquet(f"{tmp_path}/prints")
+    links = simhash.link_fingerprints(spark.read.parquet(f"{tmp_path}/prints"), 4, n)
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
