@@ -33,12 +33,15 @@ NEAREST = 3
 ROUNDS = 2
 #: Rows of a bucket that are compared pair by pair at once.
 SMALL = 64
-#: Tables of at most this many rows (16 bytes each) are broadcast.
+#: 64-bit words of a set's parities.
+PARITY = 4
+#: Tables of at most this many rows (56 bytes each at most) are broadcast.
 BROADCAST_ROWS = 200_000
 TIMES = np.random.default_rng(42).integers(0, 1 << 64, 4096, np.uint64) | np.uint64(1)
 
 
 CHECKS = [f"check{i}" for i in range(CHECK)]
+PARITIES = [f"parity{i}" for i in range(PARITY)]
 
 
 class Shape(NamedTuple):
@@ -141,6 +144,18 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(0, dtype=np.int64)
 
 
+def _can_be_alike(n, m, x, y, apart, least: float):
+    """Whether sets of n and m elements, of which x and y are in another set and whose parities differ in `apart` bits,
+    could be as alike as `least`; for columns as for arrays.
+
+    An element that is in one of both sets alone turns one parity, so of the x and y elements at least `apart` are in one
+    of both alone, as all others of the n and m are. Such elements are at most (1 - least) / (1 + least) times n + m, and
+    each set has least / (1 + least) times n + m in common with the other.
+    """
+    common = (least / (1 + least) - 1e-12) * (n + m)
+    return (x >= common) & (y >= common) & (apart + (n - x) + (m - y) <= ((1 - least) / (1 + least) + 1e-12) * (n + m))
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Of each bucket (rows with one key, which come together): its rows whose checks differ from another's in at most
     `most` bits; and candidates, as rows with key -1, node, other and check0 (the distance). Each row has one candidate
@@ -188,7 +203,7 @@ def _across(batches: Iterator[pa.RecordBatch], most: int, least: float) -> Itera
     be alike: a, b (ascending) and d, the distance of their checks."""
 
     def of(rows: np.ndarray) -> pa.RecordBatch:
-        (key, node, root, n, shared), check = rows[:5], rows[5:].view(np.uint64)
+        (key, node, root, n, shared), check, parity = rows[:5], rows[5 : 5 + CHECK].view(np.uint64), rows[5 + CHECK :].view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([starts, [len(key)]]))
         after = np.repeat(starts + size, size) - np.arange(len(key)) - 1
@@ -196,17 +211,19 @@ def _across(batches: Iterator[pa.RecordBatch], most: int, least: float) -> Itera
         best, own = np.full(len(key), none), np.flatnonzero(after)
         for step in range(1, min(SMALL, int(size.max())) + 1):
             own = own[after[own] >= step]
-            other = own + step
-            d = _apart(check[:, own], check[:, other])
-            ok = (root[own] != root[other]) & (d <= most) & (np.minimum(shared[own], shared[other]) >= (least / (1 + least) - 1e-12) * (n[own] + n[other]))
-            x, y, d = own[ok], other[ok], d[ok] << 40
+            x = own[root[own] != root[own + step]]
+            d = _apart(check[:, x], check[:, x + step])
+            x, d = x[d <= most], d[d <= most]
+            y = x + step
+            ok = _can_be_alike(n[x], n[y], shared[x], shared[y], _apart(parity[:, x], parity[:, y]), least)
+            x, y, d = x[ok], y[ok], d[ok] << 40
             best[x] = np.minimum(best[x], d | y)
             best[y] = np.minimum(best[y], d | x)
         pairs = np.flatnonzero(best < none)
         nearest = best[pairs] & ((1 << 40) - 1)
         return pa.RecordBatch.from_pydict({"a": np.minimum(node[pairs], node[nearest]), "b": np.maximum(node[pairs], node[nearest]), "d": best[pairs] >> 40})
 
-    names = ("key", "node", "root", "node_n", "node_shared", *CHECKS)
+    names = ("key", "node", "root", "node_n", "node_shared", *CHECKS, *(f"node_{c}" for c in PARITIES))
     held = np.empty((len(names), 0), np.int64)
     for batch in batches:
         rows = np.concatenate([held, np.array([batch.column(n).to_numpy() for n in names], np.int64)], axis=1)
@@ -239,9 +256,14 @@ def _first_signature(x: list[Column], made: Shape) -> Column:
     return out
 
 
+def _parities() -> list[Column]:
+    """Of a group's elements w, whether those of each of 64 * PARITY classes are odd in number."""
+    return [F.expr(f"bit_xor(IF((w >> 6 & {PARITY - 1}) = {i}, shiftleft(1L, CAST(w & 63 AS INT)), 0L))").alias(c) for i, c in enumerate(PARITIES)]
+
+
 def linkable(sets: DataFrame, least: float = SIMILARITY, rounds: int = 3) -> DataFrame:
-    """node, n and shared of the sets (node, words) that another could be as alike as `least`: n elements, of which
-    `shared` are in another of these sets.
+    """node, n, shared and PARITIES of the sets (node, words) that another could be as alike as `least`: n elements, of
+    which `shared` are in another of these sets, and the parities of these.
 
     Two sets of n and m elements with o in common have the Jaccard similarity o / (n + m - o), which is `least` or more
     only if o is least / (1 + least) times n + m, and least times n. An element that no other set has is in no common
@@ -251,11 +273,15 @@ def linkable(sets: DataFrame, least: float = SIMILARITY, rounds: int = 3) -> Dat
     left = sets
     for _ in range(rounds):
         words = left.select("node", F.explode("words").alias("w"))
-        alone = words.groupBy("w").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-        own = left.select("node", F.size("words").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+        alone = words.groupBy("w").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count("*").alias("alone"), *_parities())
+        zero = F.lit(0).cast("long")
+        own = left.select("node", F.size("words").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", zero)).alias("shared"), *(F.coalesce(c, zero).alias(c) for c in PARITIES))
         own = stage(own.filter(F.col("shared") >= F.col("n") * (least - 1e-12)), "alike-linkable")
         left = sets.join(F.broadcast(own.select("node")) if own.count() <= BROADCAST_ROWS else own.select("node"), "node", "left_semi")
-    return own
+    # Parities of all elements and of those that no other set has give those of the rest.
+    every = left.select("node", F.explode("words").alias("w")).groupBy("node").agg(*_parities()).select("node", *(F.col(c).alias(f"all_{c}") for c in PARITIES))
+    rest = (F.col(c).bitwiseXOR(F.coalesce(f"all_{c}", zero)).alias(c) for c in PARITIES)
+    return stage(own.join(every, "node", "left").select("node", "n", "shared", *rest), "alike-linkable")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
@@ -265,10 +291,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
     Reads doc_id and text (null: empty). Texts with equal sets are one node (those without a word, too, which are like
     nothing else). A node's SimHash has as many bits as shape() says; every segment is indexed with each of its bits
     deleted, and signatures are joined by equality; rows of a bucket whose checks are near are candidates. Those whose
-    sets no other could be like enough, by linkable(), go. The NEAREST nearest candidates of each node are compared by
-    their whole sets, which joins large groups in steps linear in their size; then all candidates that are still in
-    different components are, so none is left out. What can be missed is a pair that shares no signature: at `least`,
-    1 - RECALL.
+    sets no other could be like enough, by linkable(), go, and pairs that _can_be_alike() excludes, which are never alike.
+    The NEAREST nearest candidates of each node are compared by their whole sets, which joins large groups in steps linear
+    in their size; then all candidates that are still in different components are, so none is left out. What can be missed
+    is a pair that shares no signature: at `least`, 1 - RECALL.
     """
     ship(docs.sparkSession)
     made, checks = shape(docs.count(), least), ", ".join(f"{c} long" for c in CHECKS)
@@ -300,13 +326,17 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
 
     def could(pairs: DataFrame, *on: str) -> DataFrame:
         for c in on:
-            own = live.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("shared").alias(f"{c}_shared"))
+            own = live.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n", "shared", *PARITIES)))
             pairs = pairs.join(F.broadcast(own) if few else own, c)
         return pairs
 
-    enough = lambda n, m, x, y: F.least(x, y) >= F.lit(least / (1 + least) - 1e-12) * (n + m)
+    def enough(a: str, b: str) -> Column:
+        x, y = ([F.col(f"{side}_{c}") for c in ("n", "shared", *PARITIES)] for side in (a, b))
+        apart = sum(F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x[2:], y[2:]))
+        return _can_be_alike(x[0], y[0], x[1], y[1], apart, least)
+
     pairs = found.filter("key < 0").groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.min("check0").alias("d"))
-    pairs = could(pairs, "a", "b").filter(enough(F.col("a_n"), F.col("b_n"), F.col("a_shared"), F.col("b_shared")))
+    pairs = could(pairs, "a", "b").filter(enough("a", "b"))
 
     def closest(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, d) that are among the NEAREST nearest of a or of b."""
@@ -315,7 +345,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
         return ends.filter(F.col("nth") <= NEAREST).select("a", "b").distinct()
 
     def rooted(of_node: DataFrame) -> DataFrame:
-        return could(rows, "node").join(of_node, "node", "left").select("key", "node", "node_n", "node_shared", *CHECKS, F.coalesce("component", "node").alias("root"))
+        return could(rows, "node").join(of_node, "node", "left").select("key", "node", "node_n", "node_shared", *CHECKS, *(f"node_{c}" for c in PARITIES), F.coalesce("component", "node").alias("root"))
 
     tried = stage(closest(pairs), "alike-pairs")
     links = stage(linked(tried), "alike-links")
@@ -334,12 +364,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = SIMILARI
     bucket = Window.partitionBy("key")
     most = F.max(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "root")).over(bucket)
     split = rooted(of_node).join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "root", "left").select("*", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi"), most["root"].alias("main"))
-    open_ = stage(split.filter("lo < hi").select("key", "node", "node_n", "node_shared", *CHECKS, "root", "main"), "alike-open")
+    open_ = stage(split.filter("lo < hi").select("key", "node", "node_n", "node_shared", *CHECKS, *(f"node_{c}" for c in PARITIES), "root", "main"), "alike-open")
     # Every such pair has a side that isn't in the bucket's largest component. One signature reports it, once.
     a, b = open_.filter("root <> main").alias("a"), open_.alias("b")
     apart = [F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")) for c in CHECKS]
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-    near = near & (sum(map(F.bit_count, apart)) <= made.most) & enough(F.col("a.node_n"), F.col("b.node_n"), F.col("a.node_shared"), F.col("b.node_shared"))
+    near = near & (sum(map(F.bit_count, apart)) <= made.most) & enough("a.node", "b.node")
     head = F.shiftrightunsigned("a.key", 32)
     near = near & (F.coalesce(_first_signature(apart, made), head) == head)
     left = a.join(b, near).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()

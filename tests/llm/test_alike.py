@@ -136,3 +136,68 @@ def test_one_signature_reports_a_pair(spark):
     for i, (p, q) in enumerate(pairs):
         shared = {h for h, _ in heads(p) & heads(q)}
         assert (got[i] in shared and got[i] >> 5 == min(shared) >> 5) if shared else got[i] is None
+
+
+def anti_joined(spark, after):
+    """Rows that anti joins on a and b have made in executions with larger numbers than `after`, and the last number."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    total, runs = 0, store.executionsList()
+    last = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+    for k in range(after + 1, last + 1):
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if "LeftAnti" in node.desc() and "[a#" in node.desc():
+                for m in map(node.metrics().apply, range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total, last
+
+
+def test_copies_just_under_the_similarity_give_few_pairs(spark):
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+
+    def copy(edits):
+        out = list(base)
+        for at in r.sample(range(5, 40), 1) if edits == 1 else [r.randint(50 + 30 * i, 70 + 30 * i) for i in range(edits)]:
+            out[at] = f"own{r.getrandbits(60)}"
+        return " ".join(out)
+
+    # Copies with one word of their own are alike; those with three are like none, but near all of them by their checks.
+    texts = [copy(1) for _ in range(200)]
+    while len(texts) < 250:
+        one = copy(3)
+        if all(len(sets(one) & b) / len(sets(one) | b) < 0.8 for b in map(sets, texts)):
+            texts.append(one)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    _, before = anti_joined(spark, -1)
+    assert sorted(x.doc_id for x in alike.keep_one(docs).collect()) == [0, *range(200, 250)]
+    made, last = anti_joined(spark, before)
+    assert last > before and made < 1000
+
+
+def test_parities_exclude_no_pair_that_is_alike(spark):
+    import numpy as np
+
+    r = random.Random(12)
+    own = []
+    for size in (20, 150, 900):
+        base = r.sample(range(1 << 48), size)
+        for i in range(40):
+            k = r.randint(0, size // 5)
+            own.append(set(base) - set(r.sample(base, k)) | set(r.sample(range(1 << 48), r.randint(0, k))))
+        own += [set(own[-1]) | {1}, set(own[-2]) | {1, 2}]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(own)], "node long, words array<long>")
+    live = alike.linkable(df).collect()
+    parity = {x.node: np.array([x[c] for c in alike.PARITIES], np.int64).view(np.uint64) for x in live}
+    excluded = 0
+    for x in live:
+        for y in live:
+            if x.node < y.node:
+                a, b, apart = own[x.node], own[y.node], int(np.bitwise_count(parity[x.node] ^ parity[y.node]).sum())
+                assert apart + x.n - x.shared + y.n - y.shared <= len(a ^ b)
+                could = alike._can_be_alike(x.n, y.n, x.shared, y.shared, apart, 0.8)
+                assert could or len(a & b) < 0.8 * len(a | b)
+                excluded += not could
+    assert excluded > 100
